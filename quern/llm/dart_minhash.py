@@ -6,9 +6,8 @@ signature's coordinates, and a coordinate keeps its earliest dart. Only darts be
 made, a few for each coordinate whatever the set's size; a document with an empty coordinate throws again, farther.
 Two sets agree in a coordinate with the probability of their weighted Jaccard similarity.
 
-Documents with the same words are one class. Classes that agree in a band are candidates: all pairs of a small bucket;
-in a large one, each with the least id, and then whoever isn't linked to that with all others, so that no link between
-groups is missed and a large group of near copies costs a pair a member. Pairs are verified on whole texts.
+Documents with the same words are one class. Classes that agree in a band are candidates (see linking); pairs are
+verified on whole texts.
 """
 
 from __future__ import annotations
@@ -23,11 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_arrow, cut, small_side, text_batches
-from .components import components
+from .linking import linked
 from .shingles import mix, shingles, similarity
 
-#: Bands, coordinates in a band; members of a bucket of which all pairs are taken at once.
-BANDS, ROWS, ALL_PAIRS = 20, 4, 24
+#: Bands, coordinates in a band.
+BANDS, ROWS = 20, 4
 _U = np.uint64
 
 
@@ -83,7 +82,7 @@ def banded(signature: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.nd
 
 
 def _sign(docs: DataFrame, bands: int, rows: int) -> DataFrame:
-    """doc_id, words (a hash of the sequence of words; null if there is none), bands."""
+    """doc_id, words (a hash of the sequence of words; null if there is none), size (number of shingles), bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_batches(batches, 1_000_000):
@@ -93,15 +92,15 @@ def _sign(docs: DataFrame, bands: int, rows: int) -> DataFrame:
             ends = np.cumsum(many)
             same = [hashlib.blake2b(w[e - n : e].tobytes(), digest_size=16).digest() if n else None for e, n in zip(ends, many)]
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, bands, dtype=np.int32)), pa.array(keys.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(same, pa.binary()), lists], names=["doc_id", "words", "bands"])
+            total = np.bincount(doc, count, len(texts)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(same, pa.binary()), pa.array(total), lists], names=["doc_id", "words", "size", "bands"])
 
     bounded_arrow(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, words binary, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, words binary, size long, bands array<long>")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) whose texts are as similar as asked."""
-    pairs = cut(pairs, "pairs")
     ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
     texts = cut(docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(small_side(ids), "id", "left_semi").dropDuplicates(["id"]), "texts")
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
@@ -117,7 +116,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
             ok = [(x, y) for x, y in zip(a, b) if similarity(part(x), part(y)) >= threshold]
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in ok], pa.int64()), pa.array([y for _, y in ok], pa.int64())], names=["a", "b"])
 
-    return cut(both.mapInArrow(run, "a long, b long"), "links")
+    return both.mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -132,22 +131,9 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS,
     signed = cut(_sign(docs, bands, rows), "signed")
     has = signed.where("doc_id is not null and words is not null")
     classes = cut(has.groupBy("words").agg(F.min("doc_id").alias("id")), "classes")
-    members = has.join(classes, F.expr("doc_id = id").__and__(has["words"].eqNullSafe(classes["words"]))).select("id", F.explode("bands").alias("band")).distinct()
-    members = cut(members, "bands")
-    buckets = members.groupBy("band").agg(F.count("*").alias("n"), F.min("id").alias("lead")).where("n > 1")
-    members = cut(members.join(buckets, "band"), "buckets")
-    small, large = members.where(F.col("n") <= ALL_PAIRS), members.where(F.col("n") > ALL_PAIRS)
-    pairs = small.select("band", F.col("id").alias("a")).join(small.select("band", F.col("id").alias("b")), "band").where("a < b").select("a", "b")
-    led = large.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b"))
-    links = _verified(pairs.unionByName(led).distinct(), docs, threshold)
-    apart = large.where("id <> lead").join(links.select(F.col("a").alias("lead"), F.col("b").alias("id")), ["lead", "id"], "left_anti")
-    apart = cut(apart.select("band", F.col("id").alias("x")), "apart")
-    if apart.limit(1).count():
-        rest = apart.join(large.select("band", F.col("id").alias("y")), "band").where("x <> y")
-        rest = rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        rest = rest.join(pairs.unionByName(led).distinct(), ["a", "b"], "left_anti")
-        links = links.unionByName(_verified(rest, docs, threshold))
-    grouped = components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    entries = has.join(classes, (has["doc_id"] == classes["id"]) & (has["words"] == classes["words"])).select(F.explode("bands").alias("bucket"), "id", "size").distinct()
+    alike = lambda x, y: F.least(x("size"), y("size")) >= threshold * F.greatest(x("size"), y("size"))  # noqa: E731  else the similarity is less
+    _, grouped = linked(entries, lambda pairs: _verified(pairs, docs, threshold), alike)
     named = classes.join(grouped.withColumnRenamed("node", "id"), "id", "left").select("words", F.coalesce("component", "id").alias("component_id"))
     out = signed.select("doc_id", "words").join(named, "words", "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
