@@ -1,9 +1,386 @@
-"""Registered queries over the reference's operators."""
+"""Registered queries over the operators, each with the SQL that gives the same rows."""
 
+from __future__ import annotations
 
-def queries() -> dict:
-    return {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-def oracle_sql() -> dict:
-    return {}
+from ..operators import graph, policy, retrieval, temporal, truth
+from ..sources.tables import CLAIMS_SQL, DOCUMENTS_SQL, EDGES_SQL, claims, documents, edges, micros, table
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+PRINCIPAL = policy.Principal(workspace=1, subject="en", purpose="export", clearance=1, scopes=("src1", "src2", "src3", "src10"))
+ALLOWED_SQL = """(workspace = 1 AND consent AND retrievable AND sensitivity <= 1 AND (len(scopes) = 0 OR list_has_any(scopes, ['src1', 'src2', 'src3', 'src10']))
+    AND list_has_any(audience, ['en', '*']) AND list_contains(purposes, 'export'))"""
+WORDS = ["the", "thand", "onthe", "of"]
+TOKENS_SQL = "list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')"
+SNAPSHOT, AT = 600, 1_705_000_000_000_000
+
+
+def query(sql: str | None = None):
+    def keep(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+# Policy and text.
+
+
+@query(f"WITH {DOCUMENTS_SQL} SELECT doc_id FROM docs WHERE {ALLOWED_SQL}")
+def authorized_documents(spark, d):
+    return documents(spark, d).where(policy.allows(PRINCIPAL)).select("doc_id")
+
+
+@query(f"WITH {DOCUMENTS_SQL} SELECT doc_id FROM docs WHERE workspace = 1 AND len(list_filter(scopes, lambda x: x NOT IN ('src1', 'src2', 'src3', 'src10'))) = 0 AND (deleted_at IS NULL OR deleted_at > 300)")
+def index_authorized(spark, d):
+    return documents(spark, d).where(policy.allows_index(PRINCIPAL, 300)).select("doc_id")
+
+
+@query(f"""WITH {DOCUMENTS_SQL}, s AS (SELECT doc_id, len(list_intersect(list_distinct({TOKENS_SQL}), ['the', 'thand', 'onthe', 'of'])) / 4.0 AS score FROM docs WHERE {ALLOWED_SQL})
+    SELECT doc_id, CAST(score AS DOUBLE) AS score FROM s WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 25""")
+def authorized_lexical_topk(spark, d):
+    hits = documents(spark, d).where(policy.allows(PRINCIPAL)).select("doc_id", retrieval.overlap("text", WORDS).alias("score"))
+    return hits.where("score > 0").orderBy(F.desc("score"), "doc_id").limit(25)
+
+
+@query(f"""WITH t AS (SELECT doc_id, {TOKENS_SQL} AS t FROM documents), s AS (
+    SELECT doc_id, CAST(len(list_filter(t, lambda x: x = 'the')) + len(list_filter(t, lambda x: x = 'thand')) + len(list_filter(t, lambda x: x = 'onthe')) + len(list_filter(t, lambda x: x = 'of')) AS DOUBLE) / sqrt(len(t)) AS score FROM t WHERE len(t) > 0)
+    SELECT doc_id, round(score, 9) AS score FROM s WHERE score > 0 ORDER BY round(score, 9) DESC, doc_id LIMIT 50""")
+def tf_norm_topk(spark, d):
+    s = retrieval.tf_norm(table(spark, d, "documents"), WORDS).withColumn("score", F.round("score", 9))
+    return s.orderBy(F.desc("score"), "doc_id").limit(50)
+
+
+_BM25_SQL = f"""bt AS (SELECT doc_id, {TOKENS_SQL} AS t FROM docs WHERE {ALLOWED_SQL}),
+    bq AS (SELECT unnest(['thand', 'onthe', 'of']) AS q), bc AS (SELECT doc_id, q, len(t) AS n, len(list_filter(t, lambda x: x = q)) AS tf FROM bt CROSS JOIN bq),
+    bg AS (SELECT count(*) AS docs, avg(len(t)) AS mean FROM bt), bf AS (SELECT q, count(*) FILTER (tf > 0) AS df FROM bc GROUP BY q),
+    bm AS (SELECT doc_id, sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean))) AS score FROM bc JOIN bf USING (q) CROSS JOIN bg GROUP BY doc_id)"""
+
+
+@query(f"WITH {DOCUMENTS_SQL}, {_BM25_SQL} SELECT doc_id, round(score, 6) AS score FROM bm WHERE score > 0 ORDER BY round(score, 6) DESC, doc_id LIMIT 25")
+def bm25_topk(spark, d):
+    s = retrieval.bm25(documents(spark, d).where(policy.allows(PRINCIPAL)), WORDS[1:]).withColumn("score", F.round("score", 6))
+    return s.orderBy(F.desc("score"), "doc_id").limit(25)
+
+
+@query("SELECT doc_id, strpos(text, 'and the') AS first_at FROM documents WHERE contains(text, 'and the')")
+def phrase_match(spark, d):
+    t = table(spark, d, "documents")
+    return t.where(F.contains("text", F.lit("and the"))).select("doc_id", F.instr("text", "and the").cast("long").alias("first_at"))
+
+
+@query("""SELECT i.item_id, n.n_name AS name, CAST(CASE WHEN lower(i.t) = lower(n.n_name) THEN 1.0 WHEN contains(lower(i.t), lower(n.n_name)) THEN 0.9 ELSE 0.7 END AS DOUBLE) AS score
+    FROM (SELECT DISTINCT p_partkey AS item_id, p_type || ' ' || n_name AS t FROM part JOIN nation ON p_partkey % 25 = n_nationkey) i JOIN nation n ON contains(lower(i.t), lower(n.n_name)) OR contains(lower(n.n_name), lower(i.t))""")
+def alias_match(spark, d):
+    n = table(spark, d, "nation").select("n_name", "n_nationkey")
+    items = table(spark, d, "part").join(F.broadcast(n), F.col("p_partkey") % 25 == F.col("n_nationkey")).select(F.col("p_partkey").alias("item_id"), F.concat("p_type", F.lit(" "), "n_name").alias("t")).distinct()
+    names = F.broadcast(n.select(F.col("n_name").alias("name")))  # of a fixed number of nations
+    t, name = F.lower("t"), F.lower("name")
+    return items.join(names, F.contains(t, name) | F.contains(name, t)).select("item_id", "name", F.when(t == name, 1.0).when(F.contains(t, name), 0.9).otherwise(0.7).alias("score"))
+
+
+# Time.
+
+
+@query(f"WITH {CLAIMS_SQL} SELECT subject, predicate, revision, object FROM claims WHERE tx_from <= {SNAPSHOT} AND (tx_to IS NULL OR {SNAPSHOT} < tx_to)")
+def asof_revision(spark, d):
+    return temporal.as_of(claims(spark, d), SNAPSHOT).select("subject", "predicate", "revision", "object")
+
+
+@query(f"""WITH {CLAIMS_SQL} SELECT subject, predicate, claim_id, object FROM claims WHERE tx_from <= 5000 AND valid_from <= {AT} AND (valid_to IS NULL OR {AT} < valid_to)
+    QUALIFY row_number() OVER (PARTITION BY subject, predicate ORDER BY tx_from DESC) = 1""")
+def bitemporal_state(spark, d):
+    return temporal.bitemporal(claims(spark, d), ["subject", "predicate"], 5000, AT).select("subject", "predicate", "claim_id", "object")
+
+
+@query(f"WITH {CLAIMS_SQL} SELECT subject, predicate, revision, object, valid_from, CASE WHEN tx_to <= {SNAPSHOT} THEN valid_to END AS valid_to FROM claims WHERE tx_from <= {SNAPSHOT}")
+def timeline_revisions(spark, d):
+    known = claims(spark, d).where(F.col("tx_from") <= SNAPSHOT)
+    return known.select("subject", "predicate", "revision", "object", "valid_from", F.when(F.col("tx_to") <= SNAPSHOT, F.col("valid_to")).alias("valid_to"))
+
+
+@query("""WITH e AS (SELECT event_id, user_id, event_type, epoch_us(ts) AS s, epoch_us(ts) + 7200000000 AS e FROM events)
+    SELECT a.user_id, a.event_id AS l_id, b.event_id AS r_id, greatest(a.s, b.s) AS both_from, least(a.e, b.e) AS both_to
+    FROM e a JOIN e b ON a.user_id = b.user_id AND a.event_type = 'view' AND b.event_type = 'purchase' AND a.s < b.e AND b.s < a.e""")
+def valid_overlap_join(spark, d):
+    e = table(spark, d, "events").select("user_id", "event_type", F.col("event_id").alias("id"), micros("ts").alias("start"), (micros("ts") + 7_200_000_000).alias("end"))
+    pairs = temporal.overlap_join(e.where("event_type = 'view'"), e.where("event_type = 'purchase'"), ["user_id"], 14_400_000_000)
+    return pairs.select("user_id", "l_id", "r_id", F.greatest("l_start", "r_start").alias("both_from"), F.least("l_end", "r_end").alias("both_to"))
+
+
+@query("""SELECT user_id, event_id + 1 AS gap_from, nx - 1 AS gap_to FROM (SELECT user_id, event_id, lead(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS nx
+    FROM (SELECT user_id % 3 AS user_id, event_id FROM events WHERE event_id % 7 <> 0)) WHERE nx > event_id + 1""")
+def producer_gaps(spark, d):
+    e = table(spark, d, "events").where("event_id % 7 <> 0").select((F.col("user_id") % 3).alias("user_id"), "event_id")
+    return temporal.gaps(e, ["user_id"], "event_id")
+
+
+@query("""SELECT user_id, event_id, sum(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) OVER w * 10000 // count(*) OVER w AS ratio_bps FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)""")
+def rolling_ratio(spark, d):
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(-3, 0)
+    e = table(spark, d, "events").withColumn("hits", F.sum(F.when(F.col("event_type") == "click", 1).otherwise(0)).over(w)).withColumn("n", F.count("*").over(w))
+    return e.select("user_id", "event_id", F.expr("hits * 10000 div n").alias("ratio_bps"))
+
+
+@query("""WITH e AS (SELECT user_id, epoch_us(ts) AS t, event_id, lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events),
+    s AS (SELECT *, sum(CASE WHEN p IS NULL OR t - p > 21600000000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY t, event_id) AS k FROM e)
+    SELECT user_id, min(t) AS started, max(t) AS ended, count(*) AS n FROM s GROUP BY user_id, k""")
+def session_windows(spark, d):
+    order = Window.partitionBy("user_id").orderBy("t", "event_id")
+    e = table(spark, d, "events").select("user_id", "event_id", micros("ts").alias("t")).withColumn("p", F.lag("t").over(order))
+    s = e.withColumn("k", F.sum(F.when(F.col("p").isNull() | (F.col("t") - F.col("p") > 21_600_000_000), 1).otherwise(0)).over(order))
+    return s.groupBy("user_id", "k").agg(F.min("t").alias("started"), F.max("t").alias("ended"), F.count("*").alias("n")).drop("k")
+
+
+@query("SELECT epoch_us(ts) // 3600000000 AS hour, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def tumbling_windows(spark, d):
+    hour = F.floor(micros("ts") / 3_600_000_000).alias("hour")
+    return table(spark, d, "events").groupBy(hour, "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+# Truth.
+
+
+@query(f"""WITH {CLAIMS_SQL}, v AS (SELECT subject, predicate, count(DISTINCT CASE WHEN NOT negative THEN object END) AS n_values FROM claims GROUP BY 1, 2)
+    SELECT subject, predicate, CASE n_values WHEN 0 THEN 'unknown' WHEN 1 THEN 'known' ELSE 'conflict' END AS state, n_values FROM v""")
+def truth_state(spark, d):
+    return truth.truth_state(claims(spark, d))
+
+
+@query(f"""WITH RECURSIVE {CLAIMS_SQL}, b AS (SELECT subject, predicate, object, family, max(confidence) AS best, count(*) AS n, max(valid_from) AS vf, min(valid_to) AS vt FROM claims WHERE NOT negative GROUP BY 1, 2, 3, 4),
+    k AS (SELECT *, row_number() OVER (PARTITION BY subject, predicate, object ORDER BY family) AS i FROM b),
+    f AS (SELECT subject, predicate, object, 0 AS i, CAST(1000000 AS BIGINT) AS l FROM (SELECT DISTINCT subject, predicate, object FROM b) UNION ALL
+          SELECT f.subject, f.predicate, f.object, f.i + 1, f.l * (1000000 - best) // 1000000 FROM f JOIN k ON k.subject = f.subject AND k.predicate = f.predicate AND k.object = f.object AND k.i = f.i + 1),
+    g AS (SELECT subject, predicate, object, arg_max(l, i) AS l FROM f GROUP BY 1, 2, 3)
+    SELECT b.subject, b.predicate, b.object, CAST(sum(n) AS BIGINT) AS n_claims, CAST(count(*) AS INTEGER) AS n_families, least(1000000 - any_value(g.l), 999999) AS support, max(vf) AS valid_from, min(vt) AS valid_to
+    FROM b JOIN g ON g.subject = b.subject AND g.predicate = b.predicate AND g.object = b.object GROUP BY 1, 2, 3""")
+def knowledge_alternatives(spark, d):
+    return truth.alternatives(claims(spark, d))
+
+
+@query(f"""WITH {CLAIMS_SQL} SELECT a.subject, a.predicate, a.claim_id AS claim_a, b.claim_id AS claim_b FROM claims a JOIN claims b ON a.subject = b.subject AND a.predicate = b.predicate AND a.claim_id < b.claim_id
+    WHERE a.object <> b.object AND NOT a.negative AND NOT b.negative AND a.valid_from < b.valid_from + 86400000000 AND b.valid_from < a.valid_from + 86400000000""")
+def slot_conflicts(spark, d):
+    c = claims(spark, d).withColumn("valid_to", F.col("valid_from") + 86_400_000_000)
+    return truth.conflicts(c).select("subject", "predicate", F.col("claim_id_a").alias("claim_a"), F.col("claim_id_b").alias("claim_b"))
+
+
+@query(f"""WITH {CLAIMS_SQL} SELECT n.claim_id, CASE WHEN c.claim_id IS NULL THEN 'new' WHEN n.negative THEN 'retract' WHEN n.object = c.object THEN 'confirm' ELSE 'supersede' END AS change, count(*) OVER (PARTITION BY n.subject) AS n_subject
+    FROM claims n LEFT JOIN claims c ON c.subject = n.subject AND c.predicate = n.predicate AND c.revision = n.revision - 1""")
+def change_classification(spark, d):
+    slot = Window.partitionBy("subject", "predicate").orderBy("revision")
+    c = claims(spark, d).withColumn("before", F.lag("object").over(slot)).withColumn("first", F.lag("claim_id").over(slot).isNull())
+    kind = F.when(F.col("first"), "new").when(F.col("negative"), "retract").when(F.col("object") == F.col("before"), "confirm").otherwise("supersede")
+    return c.select("claim_id", kind.alias("change"), F.count("*").over(Window.partitionBy("subject")).alias("n_subject"))
+
+
+@query(f"WITH {CLAIMS_SQL}, r AS (SELECT DISTINCT subject, predicate, object FROM claims WHERE negative) SELECT c.claim_id FROM claims c ANTI JOIN r ON r.subject = c.subject AND r.predicate = c.predicate AND r.object = c.object WHERE NOT c.negative")
+def retired_anti_join(spark, d):
+    c = claims(spark, d)
+    return c.where(~F.col("negative")).join(c.where("negative").select("subject", "predicate", "object"), ["subject", "predicate", "object"], "left_anti").select("claim_id")
+
+
+@query(f"WITH {CLAIMS_SQL} SELECT subject, max(tx_from) AS watermark, min(valid_to) FILTER (valid_to > {AT}) AS next_boundary FROM claims GROUP BY subject")
+def slot_watermark(spark, d):
+    return claims(spark, d).groupBy("subject").agg(F.max("tx_from").alias("watermark"), F.min(F.when(F.col("valid_to") > AT, F.col("valid_to"))).alias("next_boundary"))
+
+
+@query(f"""WITH {DOCUMENTS_SQL}, s AS (SELECT lang, count(*) AS n_primary, count(DISTINCT source) AS families, max(trust) AS max_trust, avg(sensitivity) AS sens FROM docs GROUP BY lang)
+    SELECT lang, n_primary, families, max_trust, round(greatest(0, least(1, 0.3 * max_trust / 750000 + 0.2 * families / 20 + 0.3 - 0.1 * sens)), 6) AS score FROM s""")
+def promotion_score(spark, d):
+    s = documents(spark, d).groupBy("lang").agg(F.count("*").alias("n_primary"), F.count_distinct("source").alias("families"), F.max("trust").alias("max_trust"), F.avg("sensitivity").alias("sens"))
+    raw = 0.3 * F.col("max_trust") / 750_000 + 0.2 * F.col("families") / 20 + 0.3 - 0.1 * F.col("sens")
+    return s.select("lang", "n_primary", "families", "max_trust", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw)), 6).alias("score"))
+
+
+# Aggregates.
+
+
+@query("""SELECT l_returnflag, count(*) AS n, quantile_disc(l_quantity, 0.5) AS p50, quantile_disc(l_quantity, 0.95) AS p95, quantile_disc(l_extendedprice, 0.99) AS p99 FROM lineitem GROUP BY l_returnflag""")
+def nearest_rank_percentiles(spark, d):
+    p = lambda c, q: F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY {c})")
+    return table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.count("*").alias("n"), p("l_quantity", 0.5).alias("p50"), p("l_quantity", 0.95).alias("p95"), p("l_extendedprice", 0.99).alias("p99"))
+
+
+@query("SELECT user_id, CASE WHEN count(*) = 1 THEN '1' WHEN count(*) <= 4 THEN '2-4' WHEN count(*) <= 16 THEN '5-16' ELSE 'many' END AS bucket FROM events WHERE event_type = 'error' GROUP BY user_id")
+def count_buckets(spark, d):
+    n = F.count("*")
+    return table(spark, d, "events").where("event_type = 'error'").groupBy("user_id").agg(F.when(n == 1, "1").when(n <= 4, "2-4").when(n <= 16, "5-16").otherwise("many").alias("bucket"))
+
+
+@query("SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS qty FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
+def cube_counts(spark, d):
+    return table(spark, d, "lineitem").cube("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("qty"))
+
+
+@query("SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)")
+def rollup_counts(spark, d):
+    return table(spark, d, "orders").rollup("o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderstatus <> 'F' GROUP BY n_name""")
+def nation_revenue(spark, d):
+    o = table(spark, d, "orders").where("o_orderstatus <> 'F'").select("o_orderkey", "o_custkey")
+    j = table(spark, d, "lineitem").select("l_orderkey", "l_extendedprice", "l_discount").join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    return j.groupBy("c_nationkey").agg(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("r")).join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("n_name", F.round("r", 2).alias("revenue"))
+
+
+@query("""WITH t AS (SELECT conv_id, role, count(*) AS n, sum(length(text)) AS chars FROM conversations GROUP BY 1, 2) SELECT conv_id, role, n, CAST(chars AS BIGINT) AS chars FROM t""")
+def conversation_counts(spark, d):
+    return table(spark, d, "conversations").groupBy("conv_id", "role").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+
+
+# Order, budgets, pages.
+
+
+@query("""SELECT conv_id, turn, used FROM (SELECT conv_id, turn, CAST(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS BIGINT) AS used FROM conversations) WHERE used <= 600""")
+def token_budget_prefix(spark, d):
+    t = table(spark, d, "conversations").withColumn("cost", F.length("text").cast("long"))
+    return retrieval.budget_prefix(t, ["conv_id"], ["turn"], "cost", 600).select("conv_id", "turn", "used")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE (o_totalprice, o_orderkey) < (200000.0, 500) ORDER BY o_totalprice DESC, o_orderkey DESC LIMIT 40")
+def keyset_page(spark, d):
+    after = (F.col("o_totalprice") < 200000.0) | ((F.col("o_totalprice") == 200000.0) & (F.col("o_orderkey") < 500))
+    return table(spark, d, "orders").where(after).select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), F.desc("o_orderkey")).limit(40)
+
+
+@query("SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 20 OFFSET 40")
+def offset_page(spark, d):
+    return table(spark, d, "customer").select("c_custkey", "c_acctbal").orderBy(F.desc("c_acctbal"), "c_custkey").offset(40).limit(20)
+
+
+@query("SELECT o_custkey, o_orderkey, CAST(rk AS INTEGER) AS rk FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rk FROM orders) WHERE rk <= 3")
+def top_per_group(spark, d):
+    w = Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")
+    return table(spark, d, "orders").select("o_custkey", "o_orderkey", F.row_number().over(w).alias("rk")).where("rk <= 3")
+
+
+@query("""WITH h AS (SELECT event_id, sha256(CAST(event_id AS VARCHAR) || event_type) AS own, user_id FROM events), c AS (SELECT user_id, event_id, own, lag(own) OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM h)
+    SELECT user_id, event_id, sha256(coalesce(p, '') || own) AS link FROM c""")
+def hash_chain(spark, d):
+    own = F.sha2(F.concat(F.col("event_id").cast("string"), "event_type").cast("binary"), 256)
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    e = table(spark, d, "events").select("user_id", "event_id", own.alias("own")).withColumn("p", F.lag("own").over(w))
+    return e.select("user_id", "event_id", F.sha2(F.concat(F.coalesce("p", F.lit("")), "own").cast("binary"), 256).alias("link"))
+
+
+# Vectors and fusion.
+
+_COS = "list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))"
+
+
+def _vector_hits(spark, d, k: int) -> DataFrame:
+    """The k rows of the largest cosine with vector 0: one pass, the query's vector is one row."""
+    v = table(spark, d, "embeddings")
+    q = F.broadcast(v.where("vec_id = 0").select(F.col("embedding").alias("q")))
+    return v.where("vec_id <> 0").join(q).select(F.col("vec_id").alias("id"), F.round(retrieval.cosine("embedding", "q"), 9).alias("score")).orderBy(F.desc("score"), "id").limit(k)
+
+
+@query(f"SELECT v.vec_id AS id, round({_COS}, 9) AS score FROM embeddings v, embeddings q WHERE q.vec_id = 0 AND v.vec_id <> 0 ORDER BY round({_COS}, 9) DESC, v.vec_id LIMIT 20")
+def vector_cosine_topk(spark, d):
+    return _vector_hits(spark, d, 20)
+
+
+_DOT = "list_dot_product(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))"
+
+
+@query(f"SELECT v.vec_id AS id, round({_DOT}, 9) AS score FROM embeddings v, embeddings q WHERE q.vec_id = 1 AND v.vec_id <> 1 AND v.label = q.label ORDER BY round({_DOT}, 9) DESC, v.vec_id LIMIT 20")
+def vector_dot_filtered(spark, d):
+    v = table(spark, d, "embeddings")
+    q = F.broadcast(v.where("vec_id = 1").select(F.col("embedding").alias("q"), "label"))
+    dot = F.aggregate(F.zip_with("embedding", "q", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    return v.where("vec_id <> 1").join(q, "label").select(F.col("vec_id").alias("id"), F.round(dot, 9).alias("score")).orderBy(F.desc("score"), "id").limit(20)
+
+
+_FUSION_SQL = f"""WITH {DOCUMENTS_SQL}, {_BM25_SQL},
+    a AS (SELECT doc_id AS id, 'lexical' AS route, 1000000 * 1000000 AS w, row_number() OVER (ORDER BY round(score, 6) DESC, doc_id) AS r FROM bm WHERE score > 0),
+    o AS (SELECT doc_id AS id, len(list_intersect(list_distinct({TOKENS_SQL}), ['the', 'thand', 'onthe', 'of'])) / 4.0 AS score FROM docs WHERE {ALLOWED_SQL}),
+    b AS (SELECT id, 'overlap' AS route, CAST(1300000 AS BIGINT) * 1000000 AS w, row_number() OVER (ORDER BY score DESC, id) AS r FROM o WHERE score > 0),
+    v AS (SELECT v.vec_id AS id, {_COS} AS score FROM embeddings v, embeddings q WHERE q.vec_id = 0 AND v.vec_id <> 0 AND v.vec_id IN (SELECT doc_id FROM docs WHERE {ALLOWED_SQL})),
+    c AS (SELECT id, 'vector' AS route, CAST(1150000 AS BIGINT) * 1000000 AS w, row_number() OVER (ORDER BY round(score, 9) DESC, id) AS r FROM v),
+    u AS (SELECT * FROM a WHERE r <= 30 UNION ALL SELECT * FROM b WHERE r <= 30 UNION ALL SELECT * FROM c WHERE r <= 30)
+    SELECT id, CAST(sum(w // (60 + r)) AS BIGINT) AS rrf, count(*) AS n_routes, CAST(sum(w // (60 + r)) AS BIGINT) + any_value(trust) // 2 AS score
+    FROM u JOIN docs ON docs.doc_id = u.id GROUP BY id ORDER BY score DESC, id LIMIT 20"""
+
+
+@query(_FUSION_SQL.replace("1000000 * 1000000 AS w", "CAST(1000000 AS BIGINT) * 1000000 AS w"))
+def recall_fusion(spark, d):
+    """The flagship: authorized documents only, three routes, fusion in whole numbers, a trust modifier, the best twenty."""
+    docs = documents(spark, d).where(policy.allows(PRINCIPAL))
+    lexical = retrieval.bm25(docs, WORDS[1:]).select(F.col("doc_id").alias("id"), F.round("score", 6).alias("score"))
+    over = docs.select(F.col("doc_id").alias("id"), retrieval.overlap("text", WORDS).alias("score")).where("score > 0")
+    v = table(spark, d, "embeddings")
+    q = F.broadcast(v.where("vec_id = 0").select(F.col("embedding").alias("q")))
+    vector = v.where("vec_id <> 0").join(docs.select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi").join(q).select(F.col("vec_id").alias("id"), F.round(retrieval.cosine("embedding", "q"), 9).alias("score"))
+    fused = retrieval.fuse([("lexical", 1_000_000, lexical), ("overlap", 1_300_000, over), ("vector", 1_150_000, vector)], 30)
+    scored = fused.join(docs.select(F.col("doc_id").alias("id"), "trust"), "id")
+    return scored.select("id", "rrf", F.size("routes").cast("long").alias("n_routes"), (F.col("rrf") + F.expr("trust div 2")).alias("score")).orderBy(F.desc("score"), "id").limit(20)
+
+
+# Graphs.
+
+_BOTH = "s AS (SELECT parent AS a, child AS b FROM edges UNION SELECT child, parent FROM edges)"
+
+
+@query(f"""WITH RECURSIVE {EDGES_SQL}, w(node, hop) AS (SELECT 'r1', 0 UNION SELECT child, hop + 1 FROM w JOIN edges ON parent = node WHERE hop < 3) SELECT node, CAST(min(hop) AS INTEGER) AS hop FROM w GROUP BY node HAVING min(hop) > 0""")
+def bfs_reach_out(spark, d):
+    return graph.reach(edges(spark, d), spark.createDataFrame([("r1",)], "node string"), 3, "out")
+
+
+@query(f"""WITH RECURSIVE {EDGES_SQL}, w(node, hop) AS (SELECT 'c7', 0 UNION SELECT parent, hop + 1 FROM w JOIN edges ON child = node WHERE hop < 3) SELECT node, CAST(min(hop) AS INTEGER) AS hop FROM w GROUP BY node HAVING min(hop) > 0""")
+def bfs_reach_in(spark, d):
+    return graph.reach(edges(spark, d), spark.createDataFrame([("c7",)], "node string"), 3, "in")
+
+
+@query(f"""WITH RECURSIVE {EDGES_SQL}, {_BOTH}, w(node, hop) AS (SELECT 'c7', 0 UNION SELECT b, hop + 1 FROM w JOIN s ON a = node WHERE hop < 3) SELECT node, CAST(min(hop) AS INTEGER) AS hop FROM w GROUP BY node""")
+def bfs_reach_both(spark, d):
+    return graph.reach(edges(spark, d), spark.createDataFrame([("c7",)], "node string"), 3, "both", include_starts=True)
+
+
+@query(f"""WITH RECURSIVE {EDGES_SQL}, p(node, below, d) AS (SELECT parent, child, 1 FROM edges UNION SELECT p.node, e.child, d + 1 FROM p JOIN edges e ON e.parent = p.below WHERE d < 3),
+    m AS (SELECT node, below, min(d) AS near, max(d) AS d FROM p GROUP BY 1, 2) SELECT node, count(*) FILTER (near = 1) AS children, count(*) AS descendants, count(*) FILTER (below NOT IN (SELECT parent FROM edges)) AS leaves, CAST(max(d) AS INTEGER) AS depth FROM m GROUP BY node""")
+def dag_branch_stats(spark, d):
+    return graph.branches(edges(spark, d), 3)
+
+
+@query("""WITH s AS (SELECT l_partkey AS p, l_suppkey AS s FROM lineitem GROUP BY 1, 2) SELECT s2.s AS supplier, count(DISTINCT s1.p) AS shared_parts FROM s s1 JOIN s s2 ON s1.p = s2.p AND s2.s <> s1.s WHERE s1.s = 1 GROUP BY s2.s""")
+def impact_closure(spark, d):
+    s = table(spark, d, "lineitem").select(F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s")).distinct()
+    mine = s.where("s = 1").select("p")
+    return s.where("s <> 1").join(mine, "p").groupBy(F.col("s").alias("supplier")).agg(F.count_distinct("p").alias("shared_parts"))
+
+
+@query("""WITH t AS (SELECT DISTINCT o_custkey, o_orderpriority FROM orders) SELECT count(*) AS n_other, count(*) FILTER (o_custkey IN (SELECT o_custkey FROM t WHERE o_orderpriority = '1-URGENT')) AS n_in_both FROM (SELECT DISTINCT o_custkey FROM t WHERE o_orderpriority <> '1-URGENT')""")
+def set_operations(spark, d):
+    t = table(spark, d, "orders").select("o_custkey", "o_orderpriority")
+    urgent = t.where("o_orderpriority = '1-URGENT'").select("o_custkey").distinct().withColumn("u", F.lit(1))
+    other = t.where("o_orderpriority <> '1-URGENT'").select("o_custkey").distinct()
+    return other.join(urgent, "o_custkey", "left").agg(F.count("*").alias("n_other"), F.count("u").alias("n_in_both"))
+
+
+@query("""WITH b AS (SELECT l_orderkey, l_linenumber * 10 AS s, l_linenumber * 10 + CAST(l_quantity AS BIGINT) % 20 AS e FROM lineitem), o AS (SELECT *, max(e) OVER (PARTITION BY l_orderkey ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM b),
+    g AS (SELECT *, sum(CASE WHEN m IS NULL OR s > m THEN 1 ELSE 0 END) OVER (PARTITION BY l_orderkey ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS k FROM o) SELECT l_orderkey, min(s) AS range_from, max(e) AS range_to FROM g GROUP BY l_orderkey, k""")
+def byte_range_union(spark, d):
+    b = table(spark, d, "lineitem").select("l_orderkey", (F.col("l_linenumber") * 10).alias("s"), (F.col("l_linenumber") * 10 + F.col("l_quantity").cast("long") % 20).alias("e"))
+    w = Window.partitionBy("l_orderkey").orderBy("s", "e")
+    o = b.withColumn("m", F.max("e").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    g = o.withColumn("k", F.sum(F.when(F.col("m").isNull() | (F.col("s") > F.col("m")), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return g.groupBy("l_orderkey", "k").agg(F.min("s").alias("range_from"), F.max("e").alias("range_to")).drop("k")
