@@ -67,6 +67,8 @@ def test_lines(spark, docs):
     assert (1, rows[0][1], 3, 0) in out and (2, "short one", 2, 1) in out and (3, None, 0, 0) in out and (4, "", 1, 0) in out
     assert (None, "", 1, 1) in out and (5, rows[6][1], 1, 0) in out and (6, "", 1, 1) in out
     assert line_dedup.dedup_lines(table.limit(0)).count() == 0
+    narrow = line_dedup.dedup_lines(table.withColumn("doc_id", table.doc_id.cast("int"))).select("doc_id", "text", "n_lines", "n_removed").collect()
+    assert sorted(map(repr, map(tuple, narrow))) == sorted(map(repr, out))
 
 
 def test_packing(spark, docs):
