@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import graph, policy, retrieval, temporal, truth
+from ..operators import capture, graph, policy, retrieval, temporal, truth
 from ..sources.tables import CLAIMS_SQL, DOCUMENTS_SQL, EDGES_SQL, claims, documents, edges, micros, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -384,3 +384,59 @@ def byte_range_union(spark, d):
     o = b.withColumn("m", F.max("e").over(w.rowsBetween(Window.unboundedPreceding, -1)))
     g = o.withColumn("k", F.sum(F.when(F.col("m").isNull() | (F.col("s") > F.col("m")), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return g.groupBy("l_orderkey", "k").agg(F.min("s").alias("range_from"), F.max("e").alias("range_to")).drop("k")
+
+
+# Captured events, summaries and facets.
+
+_SENT_SQL = """numbered AS (SELECT event_id, user_id AS producer, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS sequence FROM events),
+    sent AS (SELECT producer, sequence FROM numbered WHERE event_id % 6 <> 0 UNION ALL SELECT producer, sequence FROM numbered WHERE event_id % 30 = 1)"""
+
+
+@query(f"""WITH {_SENT_SQL}, numbers AS (SELECT producer, sequence, count(*) AS times FROM sent GROUP BY ALL),
+    g AS (SELECT *, coalesce(lag(sequence) OVER (PARTITION BY producer ORDER BY sequence), 0) AS before FROM numbers)
+    SELECT producer, max(sequence) AS head, coalesce(min(before) FILTER (sequence > before + 1), max(sequence)) AS contiguous_through, count(*) FILTER (sequence > before + 1) AS n_gaps,
+           CAST(sum(sequence - before - 1) AS BIGINT) AS n_missing, CAST(sum(times - 1) AS BIGINT) AS n_duplicates FROM g GROUP BY producer""")
+def producer_coverage(spark, d):
+    number = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).cast("long")
+    numbered = table(spark, d, "events").select("event_id", F.col("user_id").alias("producer"), number.alias("sequence"))
+    # A sixth is lost and a thirtieth is sent twice.
+    times = F.when(F.col("event_id") % 6 != 0, 1).otherwise(0) + F.when(F.col("event_id") % 30 == 1, 1).otherwise(0)
+    sent = numbered.select("producer", "sequence", F.explode(F.array_repeat(F.lit(1), times)))
+    return capture.producer_coverage(sent.select("producer", "sequence"))
+
+
+@query("""WITH a AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS age, count(*) OVER (PARTITION BY user_id) AS n FROM events)
+    SELECT user_id, event_id, CASE WHEN n > 8 THEN min(event_id) OVER (PARTITION BY user_id) END AS dropped_before FROM a WHERE age <= 8""")
+def retained_events(spark, d):
+    return capture.retained(table(spark, d, "events").select("user_id", "event_id"), "user_id", "event_id", 8).select("user_id", "event_id", "dropped_before")
+
+
+@query("SELECT conv_id, count(*) AS n_frames, count(DISTINCT turn) = count(*) AND min(turn) = 0 AND max(turn) = count(*) - 1 AS complete FROM conversations GROUP BY conv_id")
+def snapshot_complete(spark, d):
+    return capture.complete(table(spark, d, "conversations"), "conv_id", "turn")
+
+
+@query("""SELECT source, count(*) AS n_sources, count(*) FILTER (doc_id % 31 = 0) AS n_dirty, CASE WHEN count(*) FILTER (doc_id % 31 = 0) > 0 THEN 'stale' ELSE 'current' END AS status
+    FROM documents GROUP BY source""")
+def summary_freshness(spark, d):
+    return capture.freshness(table(spark, d, "documents").select("source", "doc_id"), "source", F.col("doc_id") % 31 == 0)
+
+
+@query(f"WITH {DOCUMENTS_SQL} SELECT source, arg_max(doc_id, (trust, length(text), -doc_id)) AS doc_id FROM docs WHERE {ALLOWED_SQL} AND text IS NOT NULL AND source IS NOT NULL GROUP BY source")
+def required_facets(spark, d):
+    allowed = documents(spark, d).where(policy.allows(PRINCIPAL) & F.col("text").isNotNull() & F.col("source").isNotNull())
+    return capture.best_per_facet(allowed.select("source", "doc_id", "trust", F.length("text").alias("n")), "source", "trust", "n", "doc_id")
+
+
+@query(f"WITH {DOCUMENTS_SQL} SELECT DISTINCT source, 'unknown' AS block FROM documents w WHERE source IS NOT NULL AND NOT EXISTS (SELECT 1 FROM docs WHERE {ALLOWED_SQL} AND docs.source = w.source)")
+def missing_facets(spark, d):
+    wanted = table(spark, d, "documents").where("source is not null").select("source").distinct()
+    return capture.missing_facets(wanted, documents(spark, d).where(policy.allows(PRINCIPAL)).select("source"), "source")
+
+
+@query("""SELECT event_id <= 600 AS indexed, event_type, count(*) AS n FROM events WHERE event_id <= 900 GROUP BY ALL""")
+def pending_tail(spark, d):
+    e = table(spark, d, "events").select("event_id", "event_type")
+    view = e.where(F.col("event_id") <= SNAPSHOT).withColumn("indexed", F.lit(True))
+    tail = e.where((F.col("event_id") > SNAPSHOT) & (F.col("event_id") <= SNAPSHOT + 300)).withColumn("indexed", F.lit(False))
+    return view.unionByName(tail).groupBy("indexed", "event_type").agg(F.count("*").alias("n"))
