@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -27,3 +27,53 @@ def branches(edges: DataFrame, depth: int) -> DataFrame:
         pairs = pairs.unionByName(level)
     far = pairs.groupBy("node", "below").agg(F.min("d").alias("near"), F.max("d").alias("d")).join(leaf, "below", "left")
     return far.groupBy("node").agg(F.count_if(F.col("near") == 1).alias("children"), F.count("*").alias("descendants"), F.count("leaf").alias("leaves"), F.max("d").alias("depth"))
+
+
+#: Confidence in basis points: whole is 10,000.
+WHOLE = 10_000
+
+
+def combine(a, b):
+    """The product of two confidences in basis points, rounded half up."""
+    return F.floor((a * b + WHOLE // 2) / WHOLE).cast("long")
+
+
+def routes(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
+    """node, path (keys joined by `>`), hops, confidence of every route of 1 to `depth` edges (parent, child, confidence) from the starts (column node)."""
+    step = edges.select(F.col("parent").alias("node"), "child", F.col("confidence").alias("c"))
+    level = starts.select("node", F.col("node").alias("path"), F.lit(0).alias("hops"), F.lit(WHOLE).cast("long").alias("confidence"))
+    found = None
+    for _ in range(depth):
+        on = level.join(step, "node").where(~F.array_contains(F.split("path", ">"), F.col("child")))
+        level = on.select(F.col("child").alias("node"), F.concat_ws(">", "path", "child").alias("path"), (F.col("hops") + 1).alias("hops"), combine(F.col("confidence"), F.col("c")).alias("confidence"))
+        found = level if found is None else found.unionByName(level)
+    return found
+
+
+def beam(edges: DataFrame, starts: DataFrame, depth: int, width: int) -> DataFrame:
+    """Routes as above, but of each level and start (first key) only the `width` of most confidence go on; ties to the smaller path."""
+    level = starts.select("node", F.col("node").alias("path"), F.lit(0).alias("hops"), F.lit(WHOLE).cast("long").alias("confidence"), F.col("node").alias("start"))
+    step = edges.select(F.col("parent").alias("node"), "child", F.col("confidence").alias("c"))
+    best = Window.partitionBy("start").orderBy(F.desc("confidence"), "path")
+    found = None
+    for _ in range(depth):
+        on = level.join(step, "node").where(~F.array_contains(F.split("path", ">"), F.col("child")))
+        on = on.select(F.col("child").alias("node"), F.concat_ws(">", "path", "child").alias("path"), (F.col("hops") + 1).alias("hops"), combine(F.col("confidence"), F.col("c")).alias("confidence"), "start")
+        level = on.withColumn("place", F.row_number().over(best)).where(F.col("place") <= width).drop("place")
+        found = level if found is None else found.unionByName(level)
+    return found
+
+
+def faults(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """rule, node of what breaks a hierarchy: a repeated edge, a loop, a node with several parents, a parent that isn't in nodes."""
+    edges = edges.select("parent", "child")
+    repeated = edges.groupBy("parent", "child").agg(F.count("*").alias("n")).where("n > 1").select(F.lit("repeated").alias("rule"), F.col("child").alias("node"))
+    loops = edges.where("parent = child").select(F.lit("loop").alias("rule"), F.col("child").alias("node"))
+    several = edges.groupBy("child").agg(F.count_distinct("parent").alias("n")).where("n > 1").select(F.lit("several").alias("rule"), F.col("child").alias("node"))
+    unknown = edges.join(nodes.select(F.col("node").alias("parent")), "parent", "left_anti").select(F.lit("unknown").alias("rule"), F.col("parent").alias("node"))
+    return repeated.unionByName(loops).unionByName(several).unionByName(unknown).distinct()
+
+
+def adjacency(edges: DataFrame) -> DataFrame:
+    """parent, children: its distinct children in order, as one string joined by commas."""
+    return edges.groupBy("parent").agg(F.array_join(F.sort_array(F.collect_set("child")), ",").alias("children"))

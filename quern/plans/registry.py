@@ -440,3 +440,46 @@ def pending_tail(spark, d):
     view = e.where(F.col("event_id") <= SNAPSHOT).withColumn("indexed", F.lit(True))
     tail = e.where((F.col("event_id") > SNAPSHOT) & (F.col("event_id") <= SNAPSHOT + 300)).withColumn("indexed", F.lit(False))
     return view.unionByName(tail).groupBy("indexed", "event_type").agg(F.count("*").alias("n"))
+
+
+# Hierarchies.
+
+_SURE_SQL = f"{EDGES_SQL}, sure AS (SELECT *, 9000 + CAST(substr(child, 2) AS BIGINT) * 37 % 1000 AS confidence FROM edges)"
+_COMBINE_SQL = "CAST((a.confidence * e.confidence + 5000) // 10000 AS BIGINT)"
+
+
+def _sure(spark, d) -> DataFrame:
+    return edges(spark, d).withColumn("confidence", F.lit(9000) + F.substring("child", 2, 20).cast("long") * 37 % 1000)
+
+
+def _roots(spark, d) -> DataFrame:
+    return table(spark, d, "region").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("node"))
+
+
+@query(f"""WITH {_SURE_SQL}, l1 AS (SELECT child AS node, parent || '>' || child AS path, 1 AS hops, confidence FROM sure WHERE parent LIKE 'r%'),
+    l2 AS (SELECT child AS node, path || '>' || child AS path, 2 AS hops, {_COMBINE_SQL} AS confidence FROM l1 a JOIN sure e ON e.parent = a.node)
+    SELECT * FROM l1 UNION ALL SELECT * FROM l2""")
+def hierarchy_routes(spark, d):
+    return graph.routes(_sure(spark, d), _roots(spark, d), 3)
+
+
+@query(f"""WITH {_SURE_SQL}, l1 AS (SELECT child AS node, parent || '>' || child AS path, 1 AS hops, confidence, parent AS start FROM sure WHERE parent LIKE 'r%' QUALIFY row_number() OVER (PARTITION BY parent ORDER BY confidence DESC, path) <= 3),
+    l2 AS (SELECT child AS node, path || '>' || child AS path, 2 AS hops, {_COMBINE_SQL} AS confidence, start FROM l1 a JOIN sure e ON e.parent = a.node),
+    b2 AS (SELECT * FROM l2 QUALIFY row_number() OVER (PARTITION BY start ORDER BY confidence DESC, path) <= 3) SELECT * FROM l1 UNION ALL SELECT * FROM b2""")
+def hierarchy_beam(spark, d):
+    return graph.beam(_sure(spark, d), _roots(spark, d), 2, 3)
+
+
+@query(f"""WITH {EDGES_SQL}, b AS (SELECT * FROM edges UNION ALL SELECT * FROM edges WHERE parent = 'n3' UNION ALL SELECT 'n4', 'c7' UNION ALL SELECT 'n5', 'n5' UNION ALL SELECT 'n99', 'c8')
+    SELECT 'repeated' AS rule, child AS node FROM b GROUP BY parent, child HAVING count(*) > 1 UNION SELECT 'loop', child FROM b WHERE parent = child
+    UNION SELECT 'several', child FROM b GROUP BY child HAVING count(DISTINCT parent) > 1 UNION SELECT 'unknown', parent FROM b WHERE parent NOT IN (SELECT child FROM edges UNION SELECT parent FROM edges)""")
+def hierarchy_faults(spark, d):
+    good = edges(spark, d)
+    more = spark.createDataFrame([("n4", "c7"), ("n5", "n5"), ("n99", "c8")], "parent string, child string")
+    known = good.select(F.explode(F.array("parent", "child")).alias("node")).distinct()
+    return graph.faults(good.unionByName(good.where("parent = 'n3'")).unionByName(more), known)
+
+
+@query(f"WITH {EDGES_SQL} SELECT parent, string_agg(DISTINCT child, ',' ORDER BY child) AS children FROM edges GROUP BY parent")
+def adjacency_lists(spark, d):
+    return graph.adjacency(edges(spark, d))
