@@ -71,6 +71,44 @@ def test_lines(spark, docs):
     assert sorted(map(repr, map(tuple, narrow))) == sorted(map(repr, out))
 
 
+def test_all_similar_lines_are_found(spark):
+    """Every pair of word edit similarity 0.8 or more, in lines of all lengths that crowd around common phrases."""
+    rng = np.random.default_rng(11)
+    common, rare = [f"c{i}" for i in range(6)], iter(f"w{i}" for i in range(100_000))
+    lines = []
+    for n in [*range(5, 34), 60, 100]:
+        for kind in range(3):
+            base = [*(common[: min(4, n // 3)] if kind else []), *(next(rare) if rng.random() < 0.8 else str(rng.choice(common)) for _ in range(n))][:n]
+            other = list(base)
+            for at in sorted(rng.choice(n, n // 5, replace=False), reverse=True):
+                if kind < 2 or rng.random() < 0.5:
+                    other[at] = next(rare)
+                elif rng.random() < 0.5:
+                    other.insert(at, next(rare))
+                else:
+                    del other[at]
+            lines += [base, other]
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    similar = lambda a, b: min(len(a), len(b)) >= 5 and edits(a, b) <= max(len(a), len(b)) // 5
+    root = list(range(len(lines)))
+    for i, a in enumerate(lines):
+        for j in range(i):
+            if 4 * max(len(a), len(lines[j])) <= 5 * min(len(a), len(lines[j])) and similar(lines[j], a):
+                least, most = sorted((root[i], root[j]))
+                root = [least if r == most else r for r in root]
+    table = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(lines)], "doc_id long, text string")
+    gone = {r.doc_id for r in line_dedup.dedup_lines(table).where("n_removed = 1").collect()}
+    assert gone == {i for i, r in enumerate(root) if r != i} and len(gone) > 80
+
+
 def test_packing(spark, docs):
     rows = nnls_packing.pack(docs, WORD).collect()
     for doc_id, n in Counter(r.doc_id for r in rows if r.doc_id not in (None, 7)).items():
