@@ -21,12 +21,11 @@ ALL_PAIRS, ROUNDS = 24, 1
 Condition = Callable[[Callable[[str], Column], Callable[[str], Column]], Column]
 
 
-def linked(entries: DataFrame, verify: Callable[[DataFrame], DataFrame], may: Condition, must: Condition | None = None, all_pairs: int = ALL_PAIRS, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
+def linked(entries: DataFrame, verify: Callable[[DataFrame], DataFrame], may: Condition, all_pairs: int = ALL_PAIRS, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
     """Links (a, b) and the components (node, component) of `entries` (bucket, id: longs, each row once, and facts of the id).
 
-    `may(x, y)` says by the facts of two ids (x("fact")) if they may link; it is asked before pairs are made. `must`, at least
-    as strict, says which pairs have to be compared even in the last step (all that may, if it isn't given). `verify` takes a
-    table of pairs (a, b), a < b, each once, and returns those that link. Links between members that are already connected
+    `may(x, y)` says by the facts of two ids (x("fact")) if they may link; it is asked before pairs are made, alike in
+    buckets of any size. `verify` takes a table of pairs (a, b), a < b, each once, and returns those that link. Links between members that are already connected
     may be missing from the first result, none from the second.
     """
     facts = [c for c in entries.columns if c not in ("bucket", "id")]
@@ -55,8 +54,7 @@ def linked(entries: DataFrame, verify: Callable[[DataFrame], DataFrame], may: Co
             break
         if r < rounds:
             rest = rest.groupBy("bucket").agg(F.max_by(F.struct("id", *facts, "own"), F.struct("degree", -F.col("id"))).alias("r")).select("bucket", "r.*")
-        fit = may if r < rounds else must or may
-        new = ends(rest, "x").join(ends(label.select("bucket", "id", *facts, "own"), "y"), "bucket").where((x("own") != y("own")) & fit(x, y)).select(x("id").alias("x"), y("id").alias("y"))
+        new = ends(rest, "x").join(ends(label.select("bucket", "id", *facts, "own"), "y"), "bucket").where((x("own") != y("own")) & may(x, y)).select(x("id").alias("x"), y("id").alias("y"))
         fresh = cut(_ordered(new).distinct().join(tried, ["a", "b"], "left_anti"), "fresh")
         tried = cut(tried.unionByName(fresh), "tried")
         more = cut(verify(fresh), "links")

@@ -71,6 +71,17 @@ def test_lines(spark, docs):
     assert sorted(map(repr, map(tuple, narrow))) == sorted(map(repr, out))
 
 
+def test_a_crowded_phrase_hides_no_pair(spark):
+    """Similar lines that share only a phrase of 60 lines are compared as they are where it has two."""
+    rows = []
+    for i in range(30):
+        tail = [f"t{i}x{k}" for k in range(10)]
+        near = [f"u{i}x{k}" if k % 3 == 0 else w for k, w in enumerate(tail)]
+        rows += [(2 * i + e, " ".join([*(f"h{k}" for k in range(10)), *end])) for e, end in enumerate((tail, near))]
+    gone = lambda some: {r.doc_id for r in line_dedup.dedup_lines(spark.createDataFrame(some, "doc_id long, text string")).where("n_removed = 1").collect()}
+    assert gone(rows[:2]) == {1} and gone(rows) == set(range(1, 60, 2))
+
+
 def test_all_similar_lines_are_found(spark):
     """Every pair of word edit similarity 0.8 or more, in lines of all lengths that crowd around common phrases."""
     rng = np.random.default_rng(11)
