@@ -8,7 +8,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from quern.llm import cell_dedup, components, dart_minhash, graph_ann, language_id, line_dedup, nnls_packing, piece_roundtrip, ring, token_count, warc
+from quern.llm import cell_dedup, components, dart_minhash, graph_ann, language_id, line_dedup, nnls_packing, piece_roundtrip, queries, ring, token_count, warc
 
 WORD, PIECE = (public_tokenizers.path(n) for n in ("word_bpe_49k.json", "piece_bpe_32k.model"))
 DDL = "doc_id long, text string, lang string, score string, size string, n_removed string"
@@ -71,6 +71,15 @@ def test_lines(spark, docs):
     assert sorted(map(repr, map(tuple, narrow))) == sorted(map(repr, out))
 
 
+def test_short_and_unspaced_lines(spark, tmp_path):
+    han, thai, near = "天地玄黄宇宙洪荒日月盈昃辰宿列张", "สวัสดีชาวโลกทุกคนวันนี้", "天地玄黄宇宙洪荒日月盈昃辰宿列開"
+    rows = [(1, f"Read more\n----\n\n{han}\n{thai}"), (2, f"read MORE!\n ---- \n\n{near}\n{thai}"), (3, "====\nread less\n\n  ")]
+    (tmp_path / "sf").mkdir()
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/sf/documents.parquet")
+    out = queries.op4_line_dedup(spark, f"{tmp_path}/sf").select("doc_id", "n_lines", "n_removed", "kept_chars").collect()
+    assert sorted(map(tuple, out)) == [(1, 5, 0, len(rows[0][1])), (2, 5, 4, 0), (3, 4, 0, len(rows[2][1]))]
+
+
 def test_a_crowded_phrase_hides_no_pair(spark):
     """Similar lines that share only a phrase of 60 lines are compared as they are where it has two."""
     rows = []
