@@ -12,12 +12,12 @@ def holds_at(start: str, end: str, at: Column | int) -> Column:
     return (F.col(start) <= at) & (F.col(end).isNull() | (at < F.col(end)))
 
 
-def as_of(revisions: DataFrame, snapshot: int) -> DataFrame:
+def as_of(revisions: DataFrame, snapshot: Column | int) -> DataFrame:
     """The revision of each identity that was visible at a commit: intervals don't overlap, so a filter does."""
     return revisions.where(holds_at("tx_from", "tx_to", snapshot))
 
 
-def bitemporal(revisions: DataFrame, key: list[str], snapshot: int, at: int) -> DataFrame:
+def bitemporal(revisions: DataFrame, key: list[str], snapshot: Column | int, at: int) -> DataFrame:
     """The latest revision known at `snapshot` that is valid at `at`."""
     known = revisions.where(F.col("tx_from") <= snapshot).where(holds_at("valid_from", "valid_to", at))
     return known.withColumn("_r", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("tx_from")))).where("_r = 1").drop("_r")

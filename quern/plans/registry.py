@@ -197,6 +197,41 @@ def retired_anti_join(spark, d):
     return c.where(~F.col("negative")).join(c.where("negative").select("subject", "predicate", "object"), ["subject", "predicate", "object"], "left_anti").select("claim_id")
 
 
+# The same reads at commits taken from the table: every revision takes part, however many there are.
+
+_LAST_SQL = "(SELECT max(event_id) FROM events)"
+
+
+def _at_last(spark, d) -> DataFrame:
+    """Claims, each with the last commit of the table as `last`."""
+    return claims(spark, d).join(F.broadcast(table(spark, d, "events").agg(F.max("event_id").alias("last"))))
+
+
+@query(f"WITH {CLAIMS_SQL} SELECT subject, predicate, revision, object FROM claims WHERE tx_from <= {_LAST_SQL} AND (tx_to IS NULL OR {_LAST_SQL} < tx_to)")
+def asof_revision_whole(spark, d):
+    return temporal.as_of(_at_last(spark, d), F.col("last")).select("subject", "predicate", "revision", "object")
+
+
+@query(f"""WITH {CLAIMS_SQL} SELECT subject, predicate, claim_id, object FROM claims WHERE tx_from <= {_LAST_SQL} AND valid_from <= {AT} AND (valid_to IS NULL OR {AT} < valid_to)
+    QUALIFY row_number() OVER (PARTITION BY subject, predicate ORDER BY tx_from DESC) = 1""")
+def bitemporal_state_whole(spark, d):
+    return temporal.bitemporal(_at_last(spark, d), ["subject", "predicate"], F.col("last"), AT).select("subject", "predicate", "claim_id", "object")
+
+
+@query(f"WITH {CLAIMS_SQL} SELECT subject, predicate, revision, object, valid_from, CASE WHEN tx_to <= {_LAST_SQL} THEN valid_to END AS valid_to FROM claims WHERE tx_from <= {_LAST_SQL}")
+def timeline_revisions_whole(spark, d):
+    known = _at_last(spark, d).where("tx_from <= last")
+    return known.select("subject", "predicate", "revision", "object", "valid_from", F.when(F.expr("tx_to <= last"), F.col("valid_to")).alias("valid_to"))
+
+
+@query("""SELECT event_id <= (SELECT max(event_id) * 3 // 5 FROM events) AS indexed, event_type, count(*) AS n FROM events GROUP BY ALL""")
+def pending_tail_whole(spark, d):
+    """Three fifths of the commits are indexed, and the tail runs to the end of the table."""
+    e = table(spark, d, "events")
+    upto = F.broadcast(e.agg(F.expr("max(event_id) * 3 div 5").alias("upto")))
+    return e.join(upto).groupBy(F.expr("event_id <= upto").alias("indexed"), "event_type").agg(F.count("*").alias("n"))
+
+
 @query(f"WITH {CLAIMS_SQL} SELECT subject, max(tx_from) AS watermark, min(valid_to) FILTER (valid_to > {AT}) AS next_boundary FROM claims GROUP BY subject")
 def slot_watermark(spark, d):
     return claims(spark, d).groupBy("subject").agg(F.max("tx_from").alias("watermark"), F.min(F.when(F.col("valid_to") > AT, F.col("valid_to"))).alias("next_boundary"))

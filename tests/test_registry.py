@@ -46,6 +46,13 @@ def test_forbidden_rows_change_nothing(spark):
     assert score(docs) == score(more) != []
 
 
+def test_whole_reads_take_every_event(spark, duck):
+    events = duck.execute("SELECT count(*), count(DISTINCT (user_id, event_type)) FROM events").fetchone()
+    got = {n: registry.queries()[f"{n}_whole"](spark, SF) for n in ("timeline_revisions", "asof_revision", "pending_tail")}
+    assert (got["timeline_revisions"].count(), got["asof_revision"].count()) == events
+    assert sum(r.n for r in got["pending_tail"].collect()) == events[0]
+
+
 def test_entry_runs(spark):
     import __spark_entry__
 
