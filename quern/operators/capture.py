@@ -45,3 +45,27 @@ def best_per_facet(candidates: DataFrame, facet: str, confidence: str, utility:
 def missing_facets(wanted: DataFrame, candidates: DataFrame, facet: str) -> DataFrame:
     """Wanted facets without a candidate, each as an unknown block."""
     return wanted.join(candidates, facet, "left_anti").select(facet, F.lit("unknown").alias("block"))
+
+
+def digest_chain(records: DataFrame) -> DataFrame:
+    """user_id, event_id, link of `records` (user_id, event_id, record): link = H(link before + H(record)), by event_id within each user.
+
+    Each user's rows are in one partition, in order, and pass by once: only the last digest is held, however many there are.
+    """
+    own = F.sha2(F.col("record").cast("binary"), 256).alias("own")
+    ordered = records.select("user_id", "event_id", own).repartition("user_id").sortWithinPartitions("user_id", "event_id")
+
+    def run(batches):
+        import hashlib
+
+        import pyarrow as pa
+
+        user, link = None, ""
+        for batch in batches:
+            links = []
+            for u, own in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                user, link = u, hashlib.sha256(((link if u == user else "") + own).encode()).hexdigest()
+                links.append(link)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(links, pa.string())], names=["user_id", "event_id", "link"])
+
+    return ordered.select("user_id", "event_id", "own").mapInArrow(run, "user_id long, event_id long, link string")

@@ -310,13 +310,22 @@ def top_per_group(spark, d):
 
 @query("""WITH h AS (SELECT event_id, sha256(CAST(event_id AS VARCHAR) || event_type) AS own, user_id FROM events), c AS (SELECT user_id, event_id, own, lag(own) OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM h)
     SELECT user_id, event_id, sha256(coalesce(p, '') || own) AS link FROM c""")
-def hash_chain(spark, d):
+def hash_pair_links(spark, d):
+    """The digest of each event and the one before it of its user; record_digest_chain has the chain over all before."""
     own = F.sha2(F.concat(F.col("event_id").cast("string"), "event_type").cast("binary"), 256)
     w = Window.partitionBy("user_id").orderBy("event_id")
     e = table(spark, d, "events").select("user_id", "event_id", own.alias("own")).withColumn("p", F.lag("own").over(w))
     return e.select("user_id", "event_id", F.sha2(F.concat(F.coalesce("p", F.lit("")), "own").cast("binary"), 256).alias("link"))
 
 
+@query("""WITH RECURSIVE h AS (SELECT user_id, event_id, sha256(CAST(event_id AS VARCHAR) || coalesce(event_type, '')) AS own, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
+    c AS (SELECT user_id, event_id, k, sha256(own) AS link FROM h WHERE k = 1
+          UNION ALL SELECT h.user_id, h.event_id, h.k, sha256(c.link || h.own) FROM c JOIN h ON h.user_id IS NOT DISTINCT FROM c.user_id AND h.k = c.k + 1)
+    SELECT user_id, event_id, link FROM c""")
+def record_digest_chain(spark, d):
+    return capture.digest_chain(table(spark, d, "events").select("user_id", "event_id", F.concat(F.col("event_id").cast("string"), F.coalesce("event_type", F.lit(""))).alias("record")))
+
+
 # Vectors and fusion.
 
 _COS = "list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))"

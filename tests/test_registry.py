@@ -53,6 +53,15 @@ def test_whole_reads_take_every_event(spark, duck):
     assert sum(r.n for r in got["pending_tail"].collect()) == events[0]
 
 
+def test_a_digest_depends_on_all_events_before_it(spark):
+    from quern.operators import capture
+
+    chain = lambda first: {(r.user_id, r.event_id): r.link for r in capture.digest_chain(spark.createDataFrame([(u, i, first if (u, i) == (1, 0) else f"{u} {i}") for u in (1, 2, None) for i in range(6)], "user_id long, event_id long, record string")).collect()}
+    one, other = chain("a"), chain("b")
+    assert len(one) == 18 and {k for k in one if one[k] != other[k]} == {(1, i) for i in range(6)}
+    assert "record_digest_chain" in registry.queries() and "hash_chain" not in registry.queries()
+
+
 def test_entry_runs(spark):
     import __spark_entry__
 
