@@ -11,6 +11,7 @@ logs the bytes between as a quarantined gap with the reason.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import io
 import zlib
@@ -26,6 +27,8 @@ from .common import cut, shared_dir, text_batches
 #: An archive is closed at this size; payloads under LEAST bytes are never revisits.
 ARCHIVE_BYTES, LEAST = 32 << 20, 100
 VERSION, MEMBER = b"WARC/1.1\r\n", b"\x1f\x8b\x08"
+#: Versions that are read, all as long as VERSION, and the digests that are verified; of others nothing is known.
+VERSIONS, DIGESTS = (b"WARC/1.0\r\n", VERSION), ("md5", "sha1", "sha256", "sha512")
 RECORDS = "archive string, start long, length long, record_type string, uri string, page_id long, refers_to long, payload_bytes long, payload_digest string, payload binary, gap string"
 
 
@@ -52,9 +55,22 @@ class Bad(ValueError):
     """A check that failed."""
 
 
+def _intact(head: dict[str, str], block: bytes) -> bool:
+    """Whether the payload is as its digest says, in hex or base32; also if there is no digest, or none that can be verified."""
+    name, _, want = head.get("warc-payload-digest", "").partition(":")
+    if (name := name.lower().replace("-", "")) not in DIGESTS:
+        return True
+    if head.get("content-type", "").lower().startswith("application/http"):
+        top, _, block = block.partition(b"\r\n\r\n")
+        if b"-encoding:" in top.lower():  # the digest may be of the decoded payload
+            return True
+    digest = hashlib.new(name, block).digest()
+    return want.lower() == digest.hex() or want.upper().rstrip("=") == base64.b32encode(digest).decode().rstrip("=")
+
+
 def parse(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
     """Headers, block and end of the record at `at`; Bad if any check fails."""
-    if not data.startswith(VERSION, at):
+    if not data.startswith(VERSIONS, at):
         raise Bad("no version line")
     stop = data.find(b"\r\n\r\n", at)
     if stop < 0:
@@ -71,7 +87,7 @@ def parse(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
     if data[end : end + 4] != b"\r\n\r\n":
         raise Bad("the block does not end where its length says")
     block = data[stop + 4 : end]
-    if head.get("warc-type") == "response" and head.get("warc-payload-digest", "") != "sha256:" + hashlib.sha256(block).hexdigest():
+    if head.get("warc-type") == "response" and not _intact(head, block):
         raise Bad("the payload's digest differs")
     return head, block, end + 4
 
@@ -117,7 +133,7 @@ def _plain(w: _Window, at: int) -> tuple[dict[str, str], bytes, int]:
             return parse(w.data, at)
         except Bad:
             stop = w.data.find(b"\r\n\r\n", at)
-            if not w.data.startswith(VERSION[: max(0, len(w.data) - at)], at) or stop >= 0 and not _short(w, at, stop) or not w.more():
+            if not w.data.startswith(tuple(v[: max(0, len(w.data) - at)] for v in VERSIONS), at) or stop >= 0 and not _short(w, at, stop) or not w.more():
                 raise
 
 
@@ -126,10 +142,30 @@ def _short(w: _Window, at: int, stop: int) -> bool:
     return bool(n) and n[0].isdigit() and stop + 8 + int(n[0]) > len(w.data)
 
 
+def _records(data: bytes) -> list[tuple[dict[str, str] | None, bytes, str | None]]:
+    """(headers, block, None) of each record of an inflated member and (None, b"", reason) for what lies between; Bad if it has none."""
+    found, at, why = [], 0, None
+    while at < len(data) or not found and why is None:
+        try:
+            head, block, at = parse(data, at)
+        except Bad as e:
+            if why is None:
+                why = str(e)
+                found.append((None, b"", why))
+            at = i if (i := data.find(VERSION[:5], at + 1)) >= 0 else len(data)
+            continue
+        found.append((head, block, None))
+        why = None
+    if all(head is None for head, _, _ in found):
+        raise Bad(found[0][2])
+    return found
+
+
 def salvage(stream) -> Iterator[tuple[int, int, dict[str, str] | None, bytes, str | None]]:
     """(start, length, headers, block, None) for each valid record and (start, length, None, b"", reason) for each gap.
 
-    Gzip archives and plain ones are told apart record by record. Every byte of the stream belongs to one result.
+    Gzip archives and plain ones are told apart record by record. Every byte of the stream belongs to one result: of what
+    a gzip member holds, the first has its start and length, and all others have its end and no length.
     An empty stream has none.
     """
     w, gap, why = _Window(stream), None, ""
@@ -139,11 +175,10 @@ def salvage(stream) -> Iterator[tuple[int, int, dict[str, str] | None, bytes, st
                 pass
             if w.data.startswith(VERSION[:5]):
                 head, block, end = _plain(w, 0)
+                found = [(head, block, None)]
             else:
                 data, end = _member(w, 0)
-                head, block, stop = parse(data)
-                if stop != len(data):
-                    raise Bad("more than a record in the member")
+                found = _records(data)
         except Bad as e:
             if gap is None:
                 gap, why = w.start, str(e)
@@ -152,7 +187,8 @@ def salvage(stream) -> Iterator[tuple[int, int, dict[str, str] | None, bytes, st
         if gap is not None:
             yield gap, w.start - gap, None, b"", why
             gap = None
-        yield w.start, end, head, block, None
+        for i, one in enumerate(found):
+            yield w.start + end * (i > 0), end * (i == 0), *one
         w.drop(end)
     if gap is not None:
         yield gap, w.start - gap, None, b"", why

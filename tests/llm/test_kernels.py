@@ -121,3 +121,22 @@ def test_salvage_recovers_later_records_and_logs_gaps(pack):
     assert at == len(data)
     assert list(warc.salvage(io.BytesIO(b""))) == []
     assert zlib.crc32(found[0][3]) == zlib.crc32(b"payload 0 " * 30)
+
+
+def test_salvage_of_foreign_archives():
+    import base64
+    import hashlib
+
+    def foreign(i, version="1.0", digest=None, kind="text/html", block=b"a payload"):
+        extra = f"WARC-Payload-Digest: {digest}\r\n" if digest else ""
+        return f"WARC/{version}\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:{i}>\r\nContent-Type: {kind}\r\n{extra}Content-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+
+    sha1 = lambda x: "sha1:" + base64.b32encode(hashlib.sha1(x).digest()).decode()
+    http = b"HTTP/1.1 200 OK\r\nServer: x\r\n\r\nbody"
+    good = [foreign(0), foreign(1, "1.1"), foreign(2, digest=sha1(b"a payload")), foreign(3, digest="blake3:00"), foreign(4, digest=sha1(b"body"), kind="application/http; msgtype=response", block=http)]
+    bad = foreign(9, digest=sha1(b"another"))
+    ids = lambda data: [h and warc._id(h["warc-record-id"]) for _, _, h, _, _ in warc.salvage(io.BytesIO(data))]
+    assert ids(b"".join(good)) == ids(warc.gzipped(b"".join(good))) == ids(b"".join(map(warc.gzipped, good))) == [0, 1, 2, 3, 4]
+    data = warc.gzipped(good[0] + bad + good[1]) + warc.gzipped(bad) + warc.gzipped(good[2] + good[3])
+    assert ids(data) == [0, None, 1, None, 2, 3]
+    assert sum(n for _, n, _, _, _ in warc.salvage(io.BytesIO(data))) == len(data)
