@@ -246,3 +246,14 @@ def test_pipeline_stages(spark, tmp_path):
     out = corpus_pipeline.run(spark, f"{tmp_path}/sf").collect()
     assert {r.doc_id for r in out} == set(range(12))
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "line_dedup", "near_dedup", "packing"]
+
+
+def test_pipeline_keeps_one_of_rows_that_share_an_id_or_have_none(spark, tmp_path):
+    import corpus_pipeline
+
+    a, b, c, e = (f"{prose(300 + i, 60)}" for i in range(4))
+    rows = [(1, a), (1, a), (1, b), (2, c), (None, c), (None, e), (None, e)]
+    docs = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    want = sorted([(1, a), (1, b), (2, c), (None, e)], key=repr)
+    for stage in (corpus_pipeline.drop_copies, corpus_pipeline.drop_lines):
+        assert sorted(((r.doc_id, r.text) for r in stage(spark, docs, "").collect()), key=repr) == want
