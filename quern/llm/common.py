@@ -5,20 +5,26 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import wraps
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of at most two longs that may be broadcast: 16 MB or less, whatever the corpus size.
-BROADCAST_ROWS = 1_000_000
+#: Rows of a table that may be broadcast, and their bytes at most (a Spark row has 8 bytes a column and 16 more).
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64 << 20
+#: Removes a query's shuffle files when it has ended, not when the driver collects its garbage.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_scopes: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one if unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Unset, it is made on a local master only (as in tests)."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="quern-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -28,12 +34,54 @@ def cut(df: DataFrame, name: str = "step") -> DataFrame:
     """Write `df` as a table in the shared folder and read it: lineage ends, lost executors lose nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quern-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    if _scopes:
+        _scopes[-1].append(path)
+    was = spark.conf.get(CLEAN, None)
+    spark.conf.set(CLEAN, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(CLEAN) if was is None else spark.conf.set(CLEAN, was)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that cut() has written; nothing that is still to be computed may read them."""
+    for df in tables:
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            _delete(df.sparkSession, folder)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def scratch(step: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """A function that returns the rows of `step` as one table; all other tables that cut() writes meanwhile are deleted."""
+
+    @wraps(step)
+    def run(*args, **kwargs) -> DataFrame:
+        _scopes.append([])
+        try:
+            out = step(*args, **kwargs)
+            result = cut(out, step.__name__)
+            kept = _scopes[-1].pop()
+        finally:
+            paths = _scopes.pop()
+            spark = SparkSession.getActiveSession()
+            for path in paths:
+                _delete(spark, path)
+        if _scopes:
+            _scopes[-1].append(kept)
+        return result
+
+    return run
+
+
 def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """`df` (already cut, of narrow rows) marked for broadcast if it has at most `rows` rows; else as it is."""
+    """`df` (already cut, of numbers only) marked for broadcast if its rows are few, and take BROADCAST_BYTES at most; else as it is."""
+    rows = min(rows, BROADCAST_BYTES // (16 + 8 * len(df.columns)))
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 

@@ -2,7 +2,7 @@
 
 The edges never leave the executors. Each round is a group minimum (combined before the shuffle) and a
 join on the vertex; a hub's rows are split by adaptive skew handling. Each round is written to the shared
-folder, so lineage doesn't grow and a lost executor costs one round at most.
+folder, so lineage doesn't grow and a lost executor costs one round at most; the round before is deleted.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, drop
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -39,5 +39,6 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if not hanging:  # every node has one edge, to a node that has none: stars only
             roots = e.select(F.col("dst").alias("node"), F.col("dst").alias("component")).distinct()
             return e.select(F.col("src").alias("node"), F.col("dst").alias("component")).unionByName(roots)
-        e = cut(_small_star(_large_star(e)), "edges")
+        e, old = cut(_small_star(_large_star(e)), "edges"), e
+        drop(old)
     raise RuntimeError(f"components did not settle in {rounds} rounds")

@@ -10,7 +10,6 @@ plan says where the i-th piece of each length goes; pieces get their number in p
 
 from __future__ import annotations
 
-import os
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -18,45 +17,33 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bounded_arrow, cut, text_batches
-from .word_bpe import NOT_SPACE, WORD, WORD_END, normalise
+from .word_bpe import KEEP_WORDS, LONG, WORD_END, Splitter
 
 WINDOW, END, UNITS, DEPTH = 4096, 2, 64, 4
-#: Parts in which the pieces of one length are numbered; entries that a worker keeps of words and of chunks.
-PARTS, KEEP_WORDS, KEEP_CHUNKS = 64, 700_000, 200_000
+#: Parts in which the pieces of one length are numbered.
+PARTS = 64
 
 
 class Ids:
     """Token ids of whole texts as little-endian 32-bit numbers, by the tokenizers library, each new word once."""
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tok = Tokenizer.from_file(path)
+        self.split = Splitter(path)
+        self.tok = self.split.tok
         vocab = self.tok.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith(WORD_END)]] = True
-        self.find = regex.compile(WORD).findall
-        added = [str(t.content) for t in self.tok.get_added_tokens_decoder().values()]
-        self.marks = {t[:2] for t in added}
+        self.marks = {str(t.content)[:2] for t in self.tok.get_added_tokens_decoder().values()}
         self.words: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, chunks: set[str]) -> None:
-        if len(self.chunks) + len(chunks) > KEEP_CHUNKS:
-            self.chunks.clear()
-        if len(self.words) > KEEP_WORDS:
-            self.words.clear()
-        parts = {c: self.find(normalise(c)) for c in chunks}
-        new = list({w for ws in parts.values() for w in ws if w not in self.words})
+    def _learn(self, new: list[str]) -> None:
         for i in range(0, len(new), 5000):
             some = new[i : i + 5000]
             ids = np.array(self.tok.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
@@ -68,17 +55,21 @@ class Ids:
                     at = e
             else:
                 self.words.update((w, self._whole(w)) for w in some)
-        for c, ws in parts.items():
-            self.chunks[c] = b"".join([self.words[w] for w in ws])
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        plain = [t is not None and not NOT_SPACE.search(t) and not any(m in t for m in self.marks) for t in texts]
-        cut_ = [t.split() if ok else [] for t, ok in zip(texts, plain)]
-        need = set().union(*cut_)
-        self._learn({c for c in need if c not in self.chunks})
-        if not need <= self.chunks.keys():  # the table was emptied
-            self._learn({c for c in need if c not in self.chunks})
-        return [b"".join(map(self.chunks.__getitem__, cs)) if ok else self._whole(t or "") for t, ok, cs in zip(texts, plain, cut_)]
+        """The ids of each text; null is empty. Words of this batch are known until it ends, long ones no longer."""
+        find = self.split.words
+        parts = [None if t is None or any(m in t for m in self.marks) else find(t) for t in texts]
+        if len(self.words) > KEEP_WORDS:
+            self.words.clear()
+        known = self.words
+        new = list({w for ws in parts if ws for w in ws if w not in known})
+        self._learn(new)
+        out = [self._whole(t or "") if ws is None else b"".join([known[w] for w in ws]) for t, ws in zip(texts, parts)]
+        for w in new:
+            if len(w) > LONG:
+                del known[w]
+        return out
 
 
 @lru_cache(maxsize=1)
@@ -94,7 +85,7 @@ def pieces(docs: DataFrame, path: str, window: int = WINDOW) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = ids_of(path)
-        for b in text_batches(batches):
+        for b in text_batches(batches, 1_000_000):
             rows = []
             for doc_id, data in zip(b.column(0).to_pylist(), ids.encode(b.column(1).to_pylist())):
                 data += tail

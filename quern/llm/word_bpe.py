@@ -1,35 +1,47 @@
 """Token counts by heap-and-linked-list byte-pair merging, for tokenizer files with word ends.
 
 A text is normalised and cut into words as the tokenizer file says (NFC, white space, lower case; letters,
-single digits and runs of other signs). A word starts as one symbol a byte, the last with a word end. A heap
+single digits and runs of other signs; letters and numbers by the tables of the tokenizer's library). A word starts as one symbol a byte, the last with a word end. A heap
 holds the rank and place of each adjacent pair that may merge; the lowest rank, then the leftmost, is popped,
 checked against the linked list and merged. The count is the number of initial symbols less the merges; no
-identifiers are made. Words repeat, so each worker keeps counts of chunks and words in tables of bounded size.
+identifiers are made. Words repeat, so each worker keeps their counts in a table of bounded size.
 """
 
 from __future__ import annotations
 
 import heapq
 import json
-import unicodedata
+import os
+import re
 from functools import lru_cache
 
-import regex
-
-#: Entries that a worker keeps of words (merging is dear) and of chunks (cheap); a full table starts anew.
-KEEP_WORDS, KEEP_CHUNKS = 900_000, 200_000
-# Fixed values of the tokenizer file's format.
+#: Entries that a worker keeps of words, none longer than LONG characters; a full table starts anew.
+KEEP_WORDS, LONG = 900_000, 48
+# Fixed values of the tokenizer file's format: how words are found and what ends them.
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 WORD_END = "</w>"
-#: Characters that str.split() takes for white space and the tokenizer doesn't.
-NOT_SPACE = regex.compile("[\x1c-\x1f]")
+#: Letters and other number signs below U+0250, which no version of Unicode has moved; texts of these signs need no library.
+_LETTERS, _NUMBERS = "a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u00ff\u0100-\u024f", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
+_PLAIN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\\s{_LETTERS}{_NUMBERS}]+").findall
+#: White space of Python's alone, a capital that becomes two signs, and all signs from U+0250 on but common punctuation.
+_ODD = re.compile("[\x1c-\x1f\u0130\u0250-\u200a\u200b-\u200f\u202a-\u202e\u2030-\U0010ffff]").search
+
+
+class Splitter:
+    """The words of whole texts, normalised, as the tokenizer file says: plain texts by one pattern, others by the library's own tables."""
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Regex, Tokenizer, pre_tokenizers
 
+        self.tok = Tokenizer.from_file(path)
+        self._normal = self.tok.normalizer.normalize_str
+        self._split = pre_tokenizers.Split(Regex(WORD), "removed", invert=True).pre_tokenize_str
 
-def normalise(text: str) -> str:
-    """NFC and lower case, each character for itself (the final form of sigma isn't used)."""
-    if text.isascii():
-        return text.lower()
-    return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+    def words(self, text: str) -> list[str]:
+        if _ODD(text) is None:
+            return _PLAIN(text.lower())
+        return [w for w, _ in self._split(self._normal(text))]
 
 
 def byte_letters() -> list[str]:
@@ -95,21 +107,11 @@ class _Words(dict):
         self.merger = merger
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= KEEP_WORDS:
-            self.clear()
-        n = self[word] = self.merger.count(word)
-        return n
-
-
-class _Chunks(dict):
-    def __init__(self, words: _Words, find):
-        self.words, self.find = words, find
-
-    def __missing__(self, chunk: str) -> int:
-        if len(self) >= KEEP_CHUNKS:
-            self.clear()
-        plain = normalise(chunk)
-        n = self[chunk] = self.words[plain] if plain.isalpha() and plain.isascii() else sum(map(self.words.__getitem__, self.find(plain)))
+        n = self.merger.count(word)
+        if len(word) <= LONG:
+            if len(self) >= KEEP_WORDS:
+                self.clear()
+            self[word] = n
         return n
 
 
@@ -119,17 +121,14 @@ class Counter:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.find = regex.compile(WORD).findall
+        self.find = Splitter(path).words
         self.words = _Words(Merger(spec))
-        self.chunks = _Chunks(self.words, self.find)
         special = [t["content"] for t in spec["added_tokens"]]
-        self.special = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
+        self.special = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
         self.marks = [s[:2] for s in special]
 
     def _plain(self, text: str) -> int:
-        if NOT_SPACE.search(text):
-            return sum(map(self.words.__getitem__, self.find(regex.sub(r"\s+", " ", normalise(text)))))
-        return sum(map(self.chunks.__getitem__, text.split()))
+        return sum(map(self.words.__getitem__, self.find(text)))
 
     def count(self, text: str | None) -> int:
         """Tokens of the text; null counts as empty. A special token's string in the text is one token."""
