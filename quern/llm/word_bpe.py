@@ -16,7 +16,7 @@ import re
 from functools import lru_cache
 
 #: Entries that a worker keeps of words, none longer than LONG characters; a full table starts anew.
-KEEP_WORDS, LONG = 900_000, 48
+KEEP_WORDS, LONG = 450_000, 48
 # Fixed values of the tokenizer file's format: how words are found and what ends them.
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 WORD_END = "</w>"
