@@ -1,9 +1,9 @@
 """Verified links from buckets of candidates, without all pairs of a large bucket.
 
-All pairs of a small bucket are verified. In a large one the most central member (in the most and largest buckets) is compared
-with each other; then, for a few rounds, the most central of those that are not yet in its component with all that are in another.
-What is still apart after that is compared with every member of another component. So each pair of a bucket is either verified
-or known to be connected, and a group of near copies costs a few pairs a member.
+In each bucket, of whatever size, the most central member (in the most buckets) is compared with each other. Then, for a few rounds, the
+most central of those that are not yet in its component is compared with all that are in another. What is still apart after
+that is compared with every member of another component. So each pair of a bucket is either verified, or known to be connected,
+or ruled out by the facts of its two ends; and a group of near copies costs a few pairs a member.
 """
 
 from __future__ import annotations
@@ -13,56 +13,69 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small_side
+from .common import cut, drop, small_side
 from .components import components
 
-#: Members of a bucket of which all pairs are taken; rounds of single members before the rest is compared.
-ALL_PAIRS, ROUNDS = 24, 1
+#: Rounds of single members before the rest is compared.
+ROUNDS = 2
 Condition = Callable[[Callable[[str], Column], Callable[[str], Column]], Column]
 
 
-def linked(entries: DataFrame, verify: Callable[[DataFrame], DataFrame], may: Condition, all_pairs: int = ALL_PAIRS, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
-    """Links (a, b) and the components (node, component) of `entries` (bucket, id: longs, each row once, and facts of the id).
+def shared_members(entries: DataFrame) -> DataFrame:
+    """The distinct rows of `entries` (bucket, id: longs) whose bucket has two ids or more."""
+    # Least and greatest are combined before the shuffle; buckets of one id, nearly all of them, end there.
+    shared = small_side(cut(entries.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("bucket"), "shared"))
+    return cut(entries.join(shared, "bucket").distinct(), "members")
 
-    `may(x, y)` says by the facts of two ids (x("fact")) if they may link; it is asked before pairs are made, alike in
-    buckets of any size. `verify` takes a table of pairs (a, b), a < b, each once, and returns those that link. Links between members that are already connected
-    may be missing from the first result, none from the second.
+
+def linked(members: DataFrame, facts: DataFrame, verify: Callable[[DataFrame], DataFrame], may: Condition, rounds: int = ROUNDS) -> DataFrame:
+    """The components (node, component) of the links in `members` (bucket, id: longs, each row once).
+
+    `facts` has a row of facts for each id; `may(x, y)` says by those of two ids (x("fact")) if they may link. `verify` takes a table
+    of pairs (a, b), a < b, each once, and returns those that link.
     """
-    facts = [c for c in entries.columns if c not in ("bucket", "id")]
-    shared = small_side(cut(entries.groupBy("bucket").agg(F.count("*").alias("n_bucket")).where("n_bucket > 1"), "shared"))
-    members = cut(entries.join(shared, "bucket"), "members")
-    ends = lambda df, end: df.select("bucket", *(F.col(c).alias(f"{c}_{end}") for c in df.columns if c != "bucket"))
+    names = [c for c in facts.columns if c != "id"]
+    by_id = members.groupBy("id").agg(F.sort_array(F.collect_list("bucket")).alias("buckets"))  # as many as an id has keys at most
+    known = cut(by_id.join(facts, "id"), "facts")
+    central = members.join(known.select("id", F.size("buckets").alias("degree")), "id")
+    lead = cut(central.groupBy("bucket").agg(F.max_by("id", F.struct("degree", -F.col("id"))).alias("lead")), "leads")
+    ends = lambda df, end: df.select(*(F.col(c).alias(f"{c}_{end}") for c in df.columns))
     x, y = (lambda c: F.col(f"{c}_x")), (lambda c: F.col(f"{c}_y"))
-    small, large = members.where(F.col("n_bucket") <= all_pairs), members.where(F.col("n_bucket") > all_pairs)
-    pairs = ends(small, "x").join(ends(small, "y"), "bucket").where((x("id") < y("id")) & may(x, y)).select(x("id").alias("a"), y("id").alias("b"))
-    many = large.limit(1).count() > 0
-    if many:
-        central = large.join(large.groupBy("id").agg(F.sum("n_bucket").alias("degree")), "id")
-        lead = central.groupBy("bucket").agg(F.max_by(F.struct("id", *facts), F.struct("degree", -F.col("id"))).alias("lead"))
-        large = cut(central.join(lead, "bucket").select("bucket", "id", *facts, "degree", "lead"), "large")
-        of_lead = lambda c: F.col(f"lead.{c}")
-        pairs = pairs.unionByName(_ordered(large.where((F.col("id") != F.col("lead.id")) & may(of_lead, F.col)).select(F.col("lead.id").alias("x"), F.col("id").alias("y"))))
-    tried = cut(pairs.distinct(), "tried")
+
+    def allowed(pairs: DataFrame) -> DataFrame:
+        """(x, y) as (a, b), each once, if their facts allow it."""
+        once = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        few = ends(known.drop("buckets"), "x"), ends(known.drop("buckets"), "y")
+        return once.join(few[0], F.col("a") == x("id")).join(few[1], F.col("b") == y("id")).where(may(x, y)).select("a", "b")
+
+    tried = cut(allowed(members.join(lead, "bucket").where("id <> lead").select(F.col("lead").alias("x"), F.col("id").alias("y"))), "tried")
     links = cut(verify(tried), "links")
     grouped = components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    for r in range(rounds + 1 if many else 0):
-        label = large.join(grouped.withColumnRenamed("node", "id"), "id", "left").withColumn("own", F.coalesce("component", "id"))
-        label = label.select("bucket", "id", *facts, "degree", "lead", "own")
-        main = label.where("id = lead.id").select("bucket", F.col("own").alias("main"))
-        rest = cut(label.join(main, "bucket").where("own <> main").select("bucket", "id", *facts, "degree", "own"), "rest")
+    for r in range(rounds + 1):
+        label = members.join(grouped.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("own"))
+        label = cut(label, "labels")
+        main = label.join(lead, "bucket").where("id = lead").select("bucket", F.col("own").alias("main"))
+        rest = cut(label.join(main, "bucket").where("own <> main").select("bucket", "id", "own"), "rest")
         if not rest.limit(1).count():
             break
         if r < rounds:
-            rest = rest.groupBy("bucket").agg(F.max_by(F.struct("id", *facts, "own"), F.struct("degree", -F.col("id"))).alias("r")).select("bucket", "r.*")
-        new = ends(rest, "x").join(ends(label.select("bucket", "id", *facts, "own"), "y"), "bucket").where((x("own") != y("own")) & may(x, y)).select(x("id").alias("x"), y("id").alias("y"))
-        fresh = cut(_ordered(new).distinct().join(tried, ["a", "b"], "left_anti"), "fresh")
-        tried = cut(tried.unionByName(fresh), "tried")
+            of = rest.join(known.select("id", F.size("buckets").alias("degree")), "id")
+            one = of.groupBy("bucket").agg(F.max_by(F.struct("id", "own"), F.struct("degree", -F.col("id"))).alias("r")).select("bucket", "r.*")
+            new = allowed(ends(one, "x").join(ends(label, "y"), (x("bucket") == y("bucket")) & (x("own") != y("own"))).select(x("id").alias("x"), y("id").alias("y")))
+        else:
+            # A pair is made in the first bucket that it shares, once: where both are rest, by the lesser.
+            full = lambda df: df.join(known.select("id", "buckets", *names), "id")
+            is_rest = label.join(rest.select("bucket", "id", F.lit(True).alias("rest")), ["bucket", "id"], "left").withColumn("rest", F.coalesce("rest", F.lit(False)))
+            first = F.array_min(F.array_intersect(x("buckets"), y("buckets"))) == x("bucket")
+            one_way = ~y("rest") | (x("id") < y("id"))
+            pairs = ends(full(rest), "x").join(ends(full(is_rest), "y"), (x("bucket") == y("bucket")) & (x("own") != y("own")) & one_way & may(x, y) & first)
+            new = pairs.select(F.least(x("id"), y("id")).alias("a"), F.greatest(x("id"), y("id")).alias("b")).distinct()
+        fresh = cut(new.join(tried, ["a", "b"], "left_anti"), "fresh")
         more = cut(verify(fresh), "links")
+        if r < rounds:
+            tried = cut(tried.unionByName(fresh), "tried")
         if more.limit(1).count():
             links = cut(links.unionByName(more), "links")
             grouped = components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    return links, grouped
-
-
-def _ordered(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+        drop(label, rest, fresh)
+    return grouped
