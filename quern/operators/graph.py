@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.steps import settle
+
 
 def reach(edges: DataFrame, starts: DataFrame, hops: int, direction: str = "out", include_starts: bool = False) -> DataFrame:
     """node, hop: nodes within `hops` of the starts (column node), with the least hop; a level is one join."""
@@ -13,7 +15,7 @@ def reach(edges: DataFrame, starts: DataFrame, hops: int, direction: str = "out"
     step = {"out": out, "in": back, "both": out.unionByName(back)}[direction].distinct()
     seen = frontier = starts.select("node", F.lit(0).alias("hop")).distinct()
     for h in range(1, hops + 1):
-        frontier = frontier.join(step, "node").select(F.col("next").alias("node"), F.lit(h).alias("hop")).distinct().join(seen.select("node"), "node", "left_anti")
+        frontier = settle(frontier.join(step, "node").select(F.col("next").alias("node"), F.lit(h).alias("hop")).distinct().join(seen.select("node"), "node", "left_anti"), "frontier")
         seen = seen.unionByName(frontier)
     return seen if include_starts else seen.where("hop > 0")
 
@@ -23,7 +25,7 @@ def branches(edges: DataFrame, depth: int) -> DataFrame:
     leaf = edges.select(F.col("child").alias("below")).join(edges.select(F.col("parent").alias("below")), "below", "left_anti").distinct().withColumn("leaf", F.lit(1))
     level = pairs = edges.select(F.col("parent").alias("node"), F.col("child").alias("below"), F.lit(1).alias("d")).distinct()
     for d in range(2, depth + 1):
-        level = level.join(edges.select(F.col("parent").alias("below"), F.col("child").alias("c")), "below").select("node", F.col("c").alias("below"), F.lit(d).alias("d")).distinct()
+        level = settle(level.join(edges.select(F.col("parent").alias("below"), F.col("child").alias("c")), "below").select("node", F.col("c").alias("below"), F.lit(d).alias("d")).distinct(), "level")
         pairs = pairs.unionByName(level)
     far = pairs.groupBy("node", "below").agg(F.min("d").alias("near"), F.max("d").alias("d")).join(leaf, "below", "left")
     return far.groupBy("node").agg(F.count_if(F.col("near") == 1).alias("children"), F.count("*").alias("descendants"), F.count("leaf").alias("leaves"), F.max("d").alias("depth"))
@@ -38,30 +40,42 @@ def combine(a, b):
     return F.floor((a * b + WHOLE // 2) / WHOLE).cast("long")
 
 
+def _steps(edges: DataFrame, level: DataFrame) -> DataFrame:
+    """The routes (start, node, keys, hops, confidence) one edge longer, without a node twice."""
+    step = edges.select(F.col("parent").alias("node"), "child", F.col("confidence").alias("c"))
+    on = level.join(step, "node").where(~F.array_contains("keys", F.col("child")))
+    return on.select("start", F.col("child").alias("node"), F.concat("keys", F.array("child")).alias("keys"), (F.col("hops") + 1).alias("hops"), combine(F.col("confidence"), F.col("c")).alias("confidence"))
+
+
+def _from(starts: DataFrame) -> DataFrame:
+    return starts.select(F.col("node").alias("start"), "node", F.array("node").alias("keys"), F.lit(0).alias("hops"), F.lit(WHOLE).cast("long").alias("confidence"))
+
+
 def routes(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
     """node, path (keys joined by `>`), hops, confidence of every route of 1 to `depth` edges (parent, child, confidence) from the starts (column node)."""
-    step = edges.select(F.col("parent").alias("node"), "child", F.col("confidence").alias("c"))
-    level = starts.select("node", F.col("node").alias("path"), F.lit(0).alias("hops"), F.lit(WHOLE).cast("long").alias("confidence"))
-    found = None
-    for _ in range(depth):
-        on = level.join(step, "node").where(~F.array_contains(F.split("path", ">"), F.col("child")))
-        level = on.select(F.col("child").alias("node"), F.concat_ws(">", "path", "child").alias("path"), (F.col("hops") + 1).alias("hops"), combine(F.col("confidence"), F.col("c")).alias("confidence"))
-        found = level if found is None else found.unionByName(level)
-    return found
+    return beam(edges, starts, depth, None).drop("start")
 
 
-def beam(edges: DataFrame, starts: DataFrame, depth: int, width: int) -> DataFrame:
-    """Routes as above, but of each level and start (first key) only the `width` of most confidence go on; ties to the smaller path."""
-    level = starts.select("node", F.col("node").alias("path"), F.lit(0).alias("hops"), F.lit(WHOLE).cast("long").alias("confidence"), F.col("node").alias("start"))
-    step = edges.select(F.col("parent").alias("node"), "child", F.col("confidence").alias("c"))
+def beam(edges: DataFrame, starts: DataFrame, depth: int, width: int | None) -> DataFrame:
+    """Routes as above, but of each level and start only the `width` of most confidence go on; ties to the smaller path."""
+    level, found = _from(starts), None
     best = Window.partitionBy("start").orderBy(F.desc("confidence"), "path")
-    found = None
     for _ in range(depth):
-        on = level.join(step, "node").where(~F.array_contains(F.split("path", ">"), F.col("child")))
-        on = on.select(F.col("child").alias("node"), F.concat_ws(">", "path", "child").alias("path"), (F.col("hops") + 1).alias("hops"), combine(F.col("confidence"), F.col("c")).alias("confidence"), "start")
-        level = on.withColumn("place", F.row_number().over(best)).where(F.col("place") <= width).drop("place")
+        on = _steps(edges, level).withColumn("path", F.concat_ws(">", "keys"))
+        level = settle(on if width is None else on.withColumn("place", F.row_number().over(best)).where(F.col("place") <= width).drop("place"), "routes")
         found = level if found is None else found.unionByName(level)
-    return found
+    return found.select("node", "path", "hops", "confidence", "start")
+
+
+def impact(relations: DataFrame, selected: str, hops: int) -> DataFrame:
+    """symbol, test: what depends on a symbol by relations (kind, source, target), at most `hops` away: who calls, imports or uses it, and its tests."""
+    uses = relations.where(F.col("kind").isin("calls", "imports", "uses_type")).select(F.col("target").alias("parent"), F.col("source").alias("child"))
+    tested = relations.where("kind = 'tested_by'").select(F.col("source").alias("parent"), F.col("target").alias("child"))
+    starts = relations.sparkSession.createDataFrame([(selected,)], "node string")
+    found = reach(uses.unionByName(tested), starts, hops)
+    near = found.select("node").unionByName(starts).distinct()
+    tests = tested.join(near.withColumnRenamed("node", "parent"), "parent", "left_semi").select(F.col("child").alias("node")).distinct().withColumn("t", F.lit(True))
+    return found.join(tests, "node", "left").select(F.col("node").alias("symbol"), F.coalesce("t", F.lit(False)).alias("test"))
 
 
 def faults(edges: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -17,9 +17,9 @@ def as_of(revisions: DataFrame, snapshot: Column | int) -> DataFrame:
     return revisions.where(holds_at("tx_from", "tx_to", snapshot))
 
 
-def bitemporal(revisions: DataFrame, key: list[str], snapshot: Column | int, at: int) -> DataFrame:
-    """The latest revision known at `snapshot` that is valid at `at`."""
-    known = revisions.where(F.col("tx_from") <= snapshot).where(holds_at("valid_from", "valid_to", at))
+def bitemporal(revisions: DataFrame, key: list[str], snapshot: Column | int, at: Column | int) -> DataFrame:
+    """The latest revision of each key that is visible at a commit and valid at a time."""
+    known = as_of(revisions, snapshot).where(holds_at("valid_from", "valid_to", at))
     return known.withColumn("_r", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("tx_from")))).where("_r = 1").drop("_r")
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .temporal import overlap_join
+
 MICRO, CAP = 1_000_000, 999_999
 
 
@@ -28,8 +30,20 @@ def alternatives(claims: DataFrame) -> DataFrame:
     return grouped.select("subject", "predicate", "object", "n_claims", F.size("f").alias("n_families"), noisy_or(F.transform("f", lambda x: x["best"])).alias("support"), "valid_from", "valid_to")
 
 
-def conflicts(claims: DataFrame) -> DataFrame:
-    """Pairs of claims of a slot with different objects whose validity overlaps, each once."""
-    a, b = (claims.where(~F.col("negative")).select("subject", "predicate", *(F.col(c).alias(f"{c}_{t}") for c in ("claim_id", "object", "valid_from", "valid_to"))) for t in "ab")
-    meets = (F.col("valid_to_b").isNull() | (F.col("valid_from_a") < F.col("valid_to_b"))) & (F.col("valid_to_a").isNull() | (F.col("valid_from_b") < F.col("valid_to_a")))
-    return a.join(b, ["subject", "predicate"]).where((F.col("claim_id_a") < F.col("claim_id_b")) & (F.col("object_a") != F.col("object_b")) & meets)
+def conflicts(claims: DataFrame, width: int) -> DataFrame:
+    """Pairs of claims of a slot with different objects whose validity overlaps, each once, by bins of `width` (ends not null)."""
+    rows = claims.where(~F.col("negative")).select("subject", "predicate", F.col("claim_id").alias("id"), F.col("valid_from").alias("start"), F.col("valid_to").alias("end"), "object")
+    pairs = overlap_join(rows.drop("object"), rows.drop("object"), ["subject", "predicate"], width).where("l_id < r_id")
+    of = lambda end: rows.select(F.col("id").alias(f"{end}_id"), F.col("object").alias(f"{end}_object"))
+    both = pairs.join(of("l"), "l_id").join(of("r"), "r_id").where("l_object <> r_object")
+    return both.select("subject", "predicate", F.col("l_id").alias("claim_id_a"), F.col("r_id").alias("claim_id_b"))
+
+
+def promotion(kind: Column, asserted: Column, primary: Column, families: Column, trust: Column, ambiguity: Column, classification: Column) -> Column:
+    """How ready a proposal is, from 0 to 1: explicitness, use to come, trust and corroboration, less ambiguity and sensitivity."""
+    explicit = F.when(asserted, 1.0).when(primary > 0, 0.65).otherwise(0.15)
+    use = F.when(kind.isin("boundary", "correction", "commitment"), 1.0).when(kind.isin("goal", "claim"), 0.8).when(kind.isin("preference", "relationship"), 0.72).when(kind == "summary", 0.65).otherwise(0.55)
+    support = F.when(families == 0, 0.0).when(families == 1, 0.35).when(families == 2, 0.75).otherwise(1.0)
+    sensitive = F.when(classification == 0, 0.0).when(classification == 1, 0.05).when(classification == 2, 0.15).otherwise(0.3)
+    raw = 0.3 * explicit + 0.2 * use + 0.3 * trust + 0.2 * support - 0.2 * ambiguity - 0.1 * sensitive
+    return F.least(F.greatest(raw, F.lit(0.0)), F.lit(1.0))

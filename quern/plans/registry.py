@@ -2,24 +2,30 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import capture, graph, policy, retrieval, temporal, truth
+from ..functions import numbers
+from ..operators import capture, graph, measures, policy, retrieval, temporal, truth
 from ..sources.tables import CLAIMS_SQL, DOCUMENTS_SQL, EDGES_SQL, claims, documents, edges, micros, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
-PRINCIPAL = policy.Principal(workspace=1, subject="en", purpose="export", clearance=1, scopes=("src1", "src2", "src3", "src10"))
-ALLOWED_SQL = """(workspace = 1 AND consent AND retrievable AND sensitivity <= 1 AND (len(scopes) = 0 OR list_has_any(scopes, ['src1', 'src2', 'src3', 'src10']))
-    AND list_has_any(audience, ['en', '*']) AND list_contains(purposes, 'export'))"""
+PRINCIPAL = policy.Principal(workspace=1, subject="en", purpose="export", clearance=1, scopes=("src1", "src2", "src3", "src10"), audiences=("team",), compartments=("src1",))
+BASE_SQL = "workspace = 1 AND consent AND retrievable AND sensitivity <= 1 AND (len(scopes) = 0 OR list_has_any(scopes, ['src1', 'src2', 'src3', 'src10']))"
+GRANTED_SQL = "len(list_filter(grants, lambda g: (list_contains(['en', '*', 'team'], g.audience) OR (g.audience = '@owner' AND list_contains(owners, 'en'))) AND list_has_any(g.purposes, {0}))) > 0"
+LEGACY_SQL = "((list_contains(owners, 'en') OR list_has_any(audience, {0})) AND (len(purposes) = 0 OR list_contains(purposes, 'export')))"
+ALLOWED_SQL = f"({BASE_SQL} AND CASE WHEN len(grants) = 0 THEN {LEGACY_SQL.format(['en', '*'])} ELSE {GRANTED_SQL.format(['export'])} END)"
 WORDS = ["the", "thand", "onthe", "of"]
 TOKENS_SQL = "list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')"
-SNAPSHOT, AT = 600, 1_705_000_000_000_000
+AT = 1_705_000_000_000_000
+#: Modules of queries beside this one.
+MODULES = ("scalar_queries",)
 
 
 def query(sql: str | None = None):
@@ -32,11 +38,18 @@ def query(sql: str | None = None):
     return keep
 
 
+def _load() -> None:
+    for name in MODULES:
+        importlib.import_module(f"{__package__}.{name}")
+
+
 def queries() -> dict[str, Query]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_SQL)
 
 
@@ -48,9 +61,10 @@ def authorized_documents(spark, d):
     return documents(spark, d).where(policy.allows(PRINCIPAL)).select("doc_id")
 
 
-@query(f"WITH {DOCUMENTS_SQL} SELECT doc_id FROM docs WHERE workspace = 1 AND len(list_filter(scopes, lambda x: x NOT IN ('src1', 'src2', 'src3', 'src10'))) = 0 AND (deleted_at IS NULL OR deleted_at > 300)")
+@query(f"WITH {DOCUMENTS_SQL} SELECT doc_id FROM docs WHERE workspace = 1 AND len(list_filter(scopes, lambda x: x NOT IN ('src1', 'src2', 'src3', 'src10'))) = 0 AND len(list_filter(compartments, lambda x: x <> 'src1')) = 0 AND (deleted_at IS NULL OR deleted_at > (SELECT max(doc_id) // 2 FROM documents))")
 def index_authorized(spark, d):
-    return documents(spark, d).where(policy.allows_index(PRINCIPAL, 300)).select("doc_id")
+    upto = table(spark, d, "documents").agg(F.expr("max(doc_id) div 2").alias("upto"))
+    return documents(spark, d).join(F.broadcast(upto)).where(policy.allows_index(PRINCIPAL, F.col("upto"))).select("doc_id")
 
 
 @query(f"""WITH {DOCUMENTS_SQL}, s AS (SELECT doc_id, len(list_intersect(list_distinct({TOKENS_SQL}), ['the', 'thand', 'onthe', 'of'])) / 4.0 AS score FROM docs WHERE {ALLOWED_SQL})
@@ -99,21 +113,30 @@ def alias_match(spark, d):
 # Time.
 
 
-@query(f"WITH {CLAIMS_SQL} SELECT subject, predicate, revision, object FROM claims WHERE tx_from <= {SNAPSHOT} AND (tx_to IS NULL OR {SNAPSHOT} < tx_to)")
+#: Two thirds of the commits: a snapshot that moves with the table.
+MID_SQL = "(SELECT max(event_id) * 2 // 3 FROM events)"
+
+
+def at_mid(spark, d) -> DataFrame:
+    """Claims, each with the snapshot's commit as `mid`."""
+    return claims(spark, d).join(F.broadcast(table(spark, d, "events").agg(F.expr("max(event_id) * 2 div 3").alias("mid"))))
+
+
+@query(f"WITH {CLAIMS_SQL} SELECT subject, predicate, revision, object FROM claims WHERE tx_from <= {MID_SQL} AND (tx_to IS NULL OR {MID_SQL} < tx_to)")
 def asof_revision(spark, d):
-    return temporal.as_of(claims(spark, d), SNAPSHOT).select("subject", "predicate", "revision", "object")
+    return temporal.as_of(at_mid(spark, d), F.col("mid")).select("subject", "predicate", "revision", "object")
 
 
-@query(f"""WITH {CLAIMS_SQL} SELECT subject, predicate, claim_id, object FROM claims WHERE tx_from <= 5000 AND valid_from <= {AT} AND (valid_to IS NULL OR {AT} < valid_to)
+@query(f"""WITH {CLAIMS_SQL} SELECT subject, predicate, claim_id, object FROM claims WHERE tx_from <= {MID_SQL} AND (tx_to IS NULL OR {MID_SQL} < tx_to) AND valid_from <= {AT} AND (valid_to IS NULL OR {AT} < valid_to)
     QUALIFY row_number() OVER (PARTITION BY subject, predicate ORDER BY tx_from DESC) = 1""")
 def bitemporal_state(spark, d):
-    return temporal.bitemporal(claims(spark, d), ["subject", "predicate"], 5000, AT).select("subject", "predicate", "claim_id", "object")
+    return temporal.bitemporal(at_mid(spark, d), ["subject", "predicate"], F.col("mid"), AT).select("subject", "predicate", "claim_id", "object")
 
 
-@query(f"WITH {CLAIMS_SQL} SELECT subject, predicate, revision, object, valid_from, CASE WHEN tx_to <= {SNAPSHOT} THEN valid_to END AS valid_to FROM claims WHERE tx_from <= {SNAPSHOT}")
+@query(f"WITH {CLAIMS_SQL} SELECT subject, predicate, revision, object, valid_from, CASE WHEN tx_to <= {MID_SQL} THEN valid_to END AS valid_to FROM claims WHERE tx_from <= {MID_SQL}")
 def timeline_revisions(spark, d):
-    known = claims(spark, d).where(F.col("tx_from") <= SNAPSHOT)
-    return known.select("subject", "predicate", "revision", "object", "valid_from", F.when(F.col("tx_to") <= SNAPSHOT, F.col("valid_to")).alias("valid_to"))
+    known = at_mid(spark, d).where("tx_from <= mid")
+    return known.select("subject", "predicate", "revision", "object", "valid_from", F.when(F.expr("tx_to <= mid"), F.col("valid_to")).alias("valid_to"))
 
 
 @query("""WITH e AS (SELECT event_id, user_id, event_type, epoch_us(ts) AS s, epoch_us(ts) + 7200000000 AS e FROM events)
@@ -126,9 +149,9 @@ def valid_overlap_join(spark, d):
 
 
 @query("""SELECT user_id, event_id + 1 AS gap_from, nx - 1 AS gap_to FROM (SELECT user_id, event_id, lead(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS nx
-    FROM (SELECT user_id % 3 AS user_id, event_id FROM events WHERE event_id % 7 <> 0)) WHERE nx > event_id + 1""")
+    FROM (SELECT user_id, event_id FROM events WHERE event_id % 7 <> 0)) WHERE nx > event_id + 1""")
 def producer_gaps(spark, d):
-    e = table(spark, d, "events").where("event_id % 7 <> 0").select((F.col("user_id") % 3).alias("user_id"), "event_id")
+    e = table(spark, d, "events").where("event_id % 7 <> 0").select("user_id", "event_id")
     return temporal.gaps(e, ["user_id"], "event_id")
 
 
@@ -179,7 +202,7 @@ def knowledge_alternatives(spark, d):
     WHERE a.object <> b.object AND NOT a.negative AND NOT b.negative AND a.valid_from < b.valid_from + 86400000000 AND b.valid_from < a.valid_from + 86400000000""")
 def slot_conflicts(spark, d):
     c = claims(spark, d).withColumn("valid_to", F.col("valid_from") + 86_400_000_000)
-    return truth.conflicts(c).select("subject", "predicate", F.col("claim_id_a").alias("claim_a"), F.col("claim_id_b").alias("claim_b"))
+    return truth.conflicts(c, 172_800_000_000).select("subject", "predicate", F.col("claim_id_a").alias("claim_a"), F.col("claim_id_b").alias("claim_b"))
 
 
 @query(f"""WITH {CLAIMS_SQL} SELECT n.claim_id, CASE WHEN c.claim_id IS NULL THEN 'new' WHEN n.negative THEN 'retract' WHEN n.object = c.object THEN 'confirm' ELSE 'supersede' END AS change, count(*) OVER (PARTITION BY n.subject) AS n_subject
@@ -212,7 +235,7 @@ def asof_revision_whole(spark, d):
     return temporal.as_of(_at_last(spark, d), F.col("last")).select("subject", "predicate", "revision", "object")
 
 
-@query(f"""WITH {CLAIMS_SQL} SELECT subject, predicate, claim_id, object FROM claims WHERE tx_from <= {_LAST_SQL} AND valid_from <= {AT} AND (valid_to IS NULL OR {AT} < valid_to)
+@query(f"""WITH {CLAIMS_SQL} SELECT subject, predicate, claim_id, object FROM claims WHERE tx_from <= {_LAST_SQL} AND (tx_to IS NULL OR {_LAST_SQL} < tx_to) AND valid_from <= {AT} AND (valid_to IS NULL OR {AT} < valid_to)
     QUALIFY row_number() OVER (PARTITION BY subject, predicate ORDER BY tx_from DESC) = 1""")
 def bitemporal_state_whole(spark, d):
     return temporal.bitemporal(_at_last(spark, d), ["subject", "predicate"], F.col("last"), AT).select("subject", "predicate", "claim_id", "object")
@@ -237,12 +260,18 @@ def slot_watermark(spark, d):
     return claims(spark, d).groupBy("subject").agg(F.max("tx_from").alias("watermark"), F.min(F.when(F.col("valid_to") > AT, F.col("valid_to"))).alias("next_boundary"))
 
 
-@query(f"""WITH {DOCUMENTS_SQL}, s AS (SELECT lang, count(*) AS n_primary, count(DISTINCT source) AS families, max(trust) AS max_trust, avg(sensitivity) AS sens FROM docs GROUP BY lang)
-    SELECT lang, n_primary, families, max_trust, round(greatest(0, least(1, 0.3 * max_trust / 750000 + 0.2 * families / 20 + 0.3 - 0.1 * sens)), 6) AS score FROM s""")
+_KINDS = {"signup": "boundary", "purchase": "claim", "view": "preference", "click": "summary", "error": "reflection"}
+
+
+@query(f"""WITH {CLAIMS_SQL}, s AS (SELECT subject, predicate, count(*) FILTER (NOT negative) AS n_primary, count(DISTINCT family) AS families, max(confidence) / 1000000.0 AS trust, count(DISTINCT object) > 1 AS unclear, max(revision) > 5 AS asserted FROM claims GROUP BY 1, 2)
+    SELECT subject, predicate, n_primary, families, round(least(1, greatest(0, 0.3 * CASE WHEN asserted THEN 1 WHEN n_primary > 0 THEN 0.65 ELSE 0.15 END
+        + 0.2 * CASE predicate WHEN 'signup' THEN 1 WHEN 'purchase' THEN 0.8 WHEN 'view' THEN 0.72 WHEN 'click' THEN 0.65 ELSE 0.55 END + 0.3 * trust + 0.2 * CASE families WHEN 0 THEN 0 WHEN 1 THEN 0.35 WHEN 2 THEN 0.75 ELSE 1 END
+        - 0.2 * CASE WHEN unclear THEN 0.5 ELSE 0 END - 0.1 * CASE subject % 4 WHEN 0 THEN 0 WHEN 1 THEN 0.05 WHEN 2 THEN 0.15 ELSE 0.3 END)), 6) AS score FROM s""")
 def promotion_score(spark, d):
-    s = documents(spark, d).groupBy("lang").agg(F.count("*").alias("n_primary"), F.count_distinct("source").alias("families"), F.max("trust").alias("max_trust"), F.avg("sensitivity").alias("sens"))
-    raw = 0.3 * F.col("max_trust") / 750_000 + 0.2 * F.col("families") / 20 + 0.3 - 0.1 * F.col("sens")
-    return s.select("lang", "n_primary", "families", "max_trust", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw)), 6).alias("score"))
+    s = claims(spark, d).groupBy("subject", "predicate").agg(F.count_if(~F.col("negative")).alias("n_primary"), F.count_distinct("family").alias("families"), (F.max("confidence") / 1_000_000).alias("trust"), (F.count_distinct("object") > 1).alias("unclear"), (F.max("revision") > 5).alias("asserted"))
+    kind = F.create_map(*(F.lit(v) for kv in _KINDS.items() for v in kv))[F.col("predicate")]
+    score = truth.promotion(kind, F.col("asserted"), F.col("n_primary"), F.col("families"), F.col("trust"), F.when(F.col("unclear"), 0.5).otherwise(0.0), F.col("subject") % 4)
+    return s.select("subject", "predicate", "n_primary", "families", F.round(score, 6).alias("score"))
 
 
 # Aggregates.
@@ -250,14 +279,14 @@ def promotion_score(spark, d):
 
 @query("""SELECT l_returnflag, count(*) AS n, quantile_disc(l_quantity, 0.5) AS p50, quantile_disc(l_quantity, 0.95) AS p95, quantile_disc(l_extendedprice, 0.99) AS p99 FROM lineitem GROUP BY l_returnflag""")
 def nearest_rank_percentiles(spark, d):
-    p = lambda c, q: F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY {c})")
-    return table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.count("*").alias("n"), p("l_quantity", 0.5).alias("p50"), p("l_quantity", 0.95).alias("p95"), p("l_extendedprice", 0.99).alias("p99"))
+    lines = table(spark, d, "lineitem")
+    found = measures.percentiles(lines, ["l_returnflag"], "l_quantity", (50, 95)).join(measures.percentiles(lines, ["l_returnflag"], "l_extendedprice", (99,)).select("l_returnflag", "p99"), "l_returnflag")
+    return found.select("l_returnflag", "n", "p50", "p95", "p99")
 
 
-@query("SELECT user_id, CASE WHEN count(*) = 1 THEN '1' WHEN count(*) <= 4 THEN '2-4' WHEN count(*) <= 16 THEN '5-16' ELSE 'many' END AS bucket FROM events WHERE event_type = 'error' GROUP BY user_id")
+@query("SELECT user_id, CASE WHEN n = 0 THEN 'zero' WHEN n = 1 THEN 'one' WHEN n <= 4 THEN 'few' WHEN n <= 16 THEN 'several' ELSE 'many' END AS bucket FROM (SELECT user_id, count(*) FILTER (event_type = 'error') AS n FROM events GROUP BY user_id)")
 def count_buckets(spark, d):
-    n = F.count("*")
-    return table(spark, d, "events").where("event_type = 'error'").groupBy("user_id").agg(F.when(n == 1, "1").when(n <= 4, "2-4").when(n <= 16, "5-16").otherwise("many").alias("bucket"))
+    return table(spark, d, "events").groupBy("user_id").agg(F.count_if(F.col("event_type") == "error").alias("n")).select("user_id", numbers.count_bucket("n").alias("bucket"))
 
 
 @query("SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS qty FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
@@ -308,16 +337,6 @@ def top_per_group(spark, d):
     return table(spark, d, "orders").select("o_custkey", "o_orderkey", F.row_number().over(w).alias("rk")).where("rk <= 3")
 
 
-@query("""WITH h AS (SELECT event_id, sha256(CAST(event_id AS VARCHAR) || event_type) AS own, user_id FROM events), c AS (SELECT user_id, event_id, own, lag(own) OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM h)
-    SELECT user_id, event_id, sha256(coalesce(p, '') || own) AS link FROM c""")
-def hash_pair_links(spark, d):
-    """The digest of each event and the one before it of its user; record_digest_chain has the chain over all before."""
-    own = F.sha2(F.concat(F.col("event_id").cast("string"), "event_type").cast("binary"), 256)
-    w = Window.partitionBy("user_id").orderBy("event_id")
-    e = table(spark, d, "events").select("user_id", "event_id", own.alias("own")).withColumn("p", F.lag("own").over(w))
-    return e.select("user_id", "event_id", F.sha2(F.concat(F.coalesce("p", F.lit("")), "own").cast("binary"), 256).alias("link"))
-
-
 @query("""WITH RECURSIVE h AS (SELECT user_id, event_id, sha256(CAST(event_id AS VARCHAR) || coalesce(event_type, '')) AS own, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
     c AS (SELECT user_id, event_id, k, sha256(own) AS link FROM h WHERE k = 1
           UNION ALL SELECT h.user_id, h.event_id, h.k, sha256(c.link || h.own) FROM c JOIN h ON h.user_id IS NOT DISTINCT FROM c.user_id AND h.k = c.k + 1)
@@ -405,11 +424,21 @@ def dag_branch_stats(spark, d):
     return graph.branches(edges(spark, d), 3)
 
 
-@query("""WITH s AS (SELECT l_partkey AS p, l_suppkey AS s FROM lineitem GROUP BY 1, 2) SELECT s2.s AS supplier, count(DISTINCT s1.p) AS shared_parts FROM s s1 JOIN s s2 ON s1.p = s2.p AND s2.s <> s1.s WHERE s1.s = 1 GROUP BY s2.s""")
+RELATIONS_SQL = f"""{EDGES_SQL}, relations AS (SELECT CASE left(child, 1) WHEN 'n' THEN 'calls' WHEN 'c' THEN 'uses_type' ELSE 'contains' END AS kind, child AS source, parent AS target FROM edges
+    UNION ALL SELECT 'tested_by', 'c' || o_custkey, 'o' || o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT')"""
+
+
+def relations(spark, d) -> DataFrame:
+    """kind, source, target: nations call their region, customers use their nation and are tested by urgent orders."""
+    kind = F.when(F.startswith("child", F.lit("n")), "calls").when(F.startswith("child", F.lit("c")), "uses_type").otherwise("contains")
+    tests = table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.lit("tested_by").alias("kind"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("source"), F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("target"))
+    return edges(spark, d).select(kind.alias("kind"), F.col("child").alias("source"), F.col("parent").alias("target")).unionByName(tests)
+
+
+@query(f"""WITH RECURSIVE {RELATIONS_SQL}, w(node) AS (SELECT 'r1' UNION SELECT CASE WHEN kind = 'tested_by' THEN target ELSE source END FROM w JOIN relations ON (kind IN ('calls', 'imports', 'uses_type') AND target = node) OR (kind = 'tested_by' AND source = node))
+    SELECT node AS symbol, node IN (SELECT target FROM relations WHERE kind = 'tested_by' AND source IN (SELECT node FROM w)) AS test FROM w WHERE node <> 'r1'""")
 def impact_closure(spark, d):
-    s = table(spark, d, "lineitem").select(F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s")).distinct()
-    mine = s.where("s = 1").select("p")
-    return s.where("s <> 1").join(mine, "p").groupBy(F.col("s").alias("supplier")).agg(F.count_distinct("p").alias("shared_parts"))
+    return graph.impact(relations(spark, d), "r1", 4)
 
 
 @query("""WITH t AS (SELECT DISTINCT o_custkey, o_orderpriority FROM orders) SELECT count(*) AS n_other, count(*) FILTER (o_custkey IN (SELECT o_custkey FROM t WHERE o_orderpriority = '1-URGENT')) AS n_in_both FROM (SELECT DISTINCT o_custkey FROM t WHERE o_orderpriority <> '1-URGENT')""")
@@ -478,11 +507,11 @@ def missing_facets(spark, d):
     return capture.missing_facets(wanted, documents(spark, d).where(policy.allows(PRINCIPAL)).select("source"), "source")
 
 
-@query("""SELECT event_id <= 600 AS indexed, event_type, count(*) AS n FROM events WHERE event_id <= 900 GROUP BY ALL""")
+@query("""SELECT event_id <= (SELECT max(event_id) * 2 // 3 FROM events) AS indexed, event_type, count(*) AS n FROM events GROUP BY ALL""")
 def pending_tail(spark, d):
-    e = table(spark, d, "events").select("event_id", "event_type")
-    view = e.where(F.col("event_id") <= SNAPSHOT).withColumn("indexed", F.lit(True))
-    tail = e.where((F.col("event_id") > SNAPSHOT) & (F.col("event_id") <= SNAPSHOT + 300)).withColumn("indexed", F.lit(False))
+    e = table(spark, d, "events")
+    e = e.select("event_id", "event_type").join(F.broadcast(e.agg(F.expr("max(event_id) * 2 div 3").alias("mid"))))
+    view, tail = e.where("event_id <= mid").withColumn("indexed", F.lit(True)), e.where("event_id > mid").withColumn("indexed", F.lit(False))
     return view.unionByName(tail).groupBy("indexed", "event_type").agg(F.count("*").alias("n"))
 
 

@@ -16,14 +16,23 @@ def micros(ts: Column | str) -> Column:
     return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), ts.cast("timestamp_ntz"))
 
 
+def _grants() -> Column:
+    """No grants for every fourth document (its audience and purposes hold); else purposes by audience."""
+    grant = lambda audience, *purposes: F.struct(audience.alias("audience"), F.array(*map(F.lit, purposes)).alias("purposes"))
+    i = F.col("doc_id") % 4
+    none = F.array().cast("array<struct<audience:string,purposes:array<string>>>")
+    return F.when(i == 0, none).when(i == 1, F.array(grant(F.col("lang"), "recall", "export"))).when(i == 2, F.array(grant(F.lit("*"), "audit"), grant(F.lit("@owner"), "export"))).otherwise(F.array(grant(F.lit("team"), "export", "*"), grant(F.col("lang"), "recall")))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with a policy each: workspace, consent, retrievable, sensitivity, scopes, grants, deleted_at."""
+    """Documents with a policy each: workspace, consent, retrievable, sensitivity, scopes, compartments, owners, audience, purposes, grants (audience, purposes), deleted_at."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     joined = docs.join(labels, "doc_id", "left")
     return joined.select(
         "doc_id", "text", "lang", "source", (F.col("doc_id") % 3).alias("workspace"), (F.col("doc_id") % 7 != 0).alias("consent"), (F.col("doc_id") % 11 != 0).alias("retrievable"),
         (F.coalesce("toxic", F.lit(0)) * 2 + F.col("doc_id") % 2).cast("int").alias("sensitivity"), F.when(F.col("doc_id") % 5 == 0, F.array().cast("array<string>")).otherwise(F.array("source")).alias("scopes"),
-        F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("*"))).otherwise(F.array("lang")).alias("audience"), F.array(F.lit("recall"), F.when(F.col("doc_id") % 4 == 0, "audit").otherwise("export")).alias("purposes"),
+        F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("*"))).otherwise(F.array("lang")).alias("audience"), F.when(F.col("doc_id") % 6 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("recall"), F.when(F.col("doc_id") % 4 == 0, "audit").otherwise("export"))).alias("purposes"),
+        F.when(F.col("doc_id") % 17 == 0, F.array(F.lit("en"))).otherwise(F.array(F.concat(F.lit("o"), (F.col("doc_id") % 5).cast("string")))).alias("owners"), F.when(F.col("doc_id") % 9 == 0, F.array(F.lit("src1"))).otherwise(F.array().cast("array<string>")).alias("compartments"), _grants().alias("grants"),
         (F.coalesce("quality", F.lit(0)) * 500_000 + 250_000).cast("long").alias("trust"), F.when(F.col("doc_id") % 13 == 0, F.col("doc_id") + 50).alias("deleted_at"),
     )
 
@@ -47,7 +56,10 @@ CLAIMS_SQL = """claims AS (
 DOCUMENTS_SQL = """docs AS (
     SELECT d.doc_id, text, lang, source, d.doc_id % 3 AS workspace, d.doc_id % 7 <> 0 AS consent, d.doc_id % 11 <> 0 AS retrievable, coalesce(toxic, 0) * 2 + d.doc_id % 2 AS sensitivity,
            CASE WHEN d.doc_id % 5 = 0 THEN [] ELSE [source] END AS scopes, CASE WHEN d.doc_id % 2 = 0 THEN ['*'] ELSE [lang] END AS audience,
-           ['recall', CASE WHEN d.doc_id % 4 = 0 THEN 'audit' ELSE 'export' END] AS purposes, coalesce(quality, 0) * 500000 + 250000 AS trust, CASE WHEN d.doc_id % 13 = 0 THEN d.doc_id + 50 END AS deleted_at
+           CASE WHEN d.doc_id % 6 = 0 THEN [] ELSE ['recall', CASE WHEN d.doc_id % 4 = 0 THEN 'audit' ELSE 'export' END] END AS purposes,
+           CASE WHEN d.doc_id % 17 = 0 THEN ['en'] ELSE ['o' || d.doc_id % 5] END AS owners, CASE WHEN d.doc_id % 9 = 0 THEN ['src1'] ELSE [] END AS compartments,
+           CASE d.doc_id % 4 WHEN 0 THEN [] WHEN 1 THEN [{'audience': lang, 'purposes': ['recall', 'export']}] WHEN 2 THEN [{'audience': '*', 'purposes': ['audit']}, {'audience': '@owner', 'purposes': ['export']}]
+               ELSE [{'audience': 'team', 'purposes': ['export', '*']}, {'audience': lang, 'purposes': ['recall']}] END AS grants, coalesce(quality, 0) * 500000 + 250000 AS trust, CASE WHEN d.doc_id % 13 = 0 THEN d.doc_id + 50 END AS deleted_at
     FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)"""
 
 
