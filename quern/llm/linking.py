@@ -17,7 +17,7 @@ from .common import cut, drop, small_side
 from .components import components
 
 #: Rounds of single members before the rest is compared.
-ROUNDS = 2
+ROUNDS = 1
 Condition = Callable[[Callable[[str], Column], Callable[[str], Column]], Column]
 
 
@@ -35,47 +35,36 @@ def linked(members: DataFrame, facts: DataFrame, verify: Callable[[DataFrame], D
     of pairs (a, b), a < b, each once, and returns those that link.
     """
     names = [c for c in facts.columns if c != "id"]
-    by_id = members.groupBy("id").agg(F.sort_array(F.collect_list("bucket")).alias("buckets"))  # as many as an id has keys at most
-    known = cut(by_id.join(facts, "id"), "facts")
-    central = members.join(known.select("id", F.size("buckets").alias("degree")), "id")
-    lead = cut(central.groupBy("bucket").agg(F.max_by("id", F.struct("degree", -F.col("id"))).alias("lead")), "leads")
-    ends = lambda df, end: df.select(*(F.col(c).alias(f"{c}_{end}") for c in df.columns))
+    degree = members.groupBy("id").agg(F.count("*").alias("degree"))
+    full = cut(members.join(degree.join(facts, "id"), "id"), "members")
+    ends = lambda df, end: df.select("bucket", *(F.col(c).alias(f"{c}_{end}") for c in df.columns if c != "bucket"))
     x, y = (lambda c: F.col(f"{c}_x")), (lambda c: F.col(f"{c}_y"))
-
-    def allowed(pairs: DataFrame) -> DataFrame:
-        """(x, y) as (a, b), each once, if their facts allow it."""
-        once = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        few = ends(known.drop("buckets"), "x"), ends(known.drop("buckets"), "y")
-        return once.join(few[0], F.col("a") == x("id")).join(few[1], F.col("b") == y("id")).where(may(x, y)).select("a", "b")
-
-    tried = cut(allowed(members.join(lead, "bucket").where("id <> lead").select(F.col("lead").alias("x"), F.col("id").alias("y"))), "tried")
+    central = lambda df: df.groupBy("bucket").agg(F.max_by(F.struct("id", *names, *(["own"] if "own" in df.columns else [])), F.struct("degree", -F.col("id"))).alias("r")).select("bucket", "r.*")
+    pairs_of = lambda df: df.select(F.least(x("id"), y("id")).alias("a"), F.greatest(x("id"), y("id")).alias("b")).distinct()
+    lead = cut(central(full), "leads")
+    tried = cut(pairs_of(ends(lead, "x").join(ends(full, "y"), "bucket").where((x("id") != y("id")) & may(x, y))), "tried")
     links = cut(verify(tried), "links")
     grouped = components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
     for r in range(rounds + 1):
-        label = members.join(grouped.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("own"))
-        label = cut(label, "labels")
-        main = label.join(lead, "bucket").where("id = lead").select("bucket", F.col("own").alias("main"))
-        rest = cut(label.join(main, "bucket").where("own <> main").select("bucket", "id", "own"), "rest")
+        label = full.join(grouped.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", "degree", *names, F.coalesce("component", "id").alias("own"))
+        # A bucket whose members are all in one component is done: only others go on.
+        mixed = label.groupBy("bucket").agg(F.min("own").alias("lo"), F.max("own").alias("hi"), F.max_by("own", F.struct("degree", -F.col("id"))).alias("main")).where("lo < hi").select("bucket", "main")
+        label = cut(label.join(small_side(cut(mixed, "mixed")), "bucket").withColumn("rest", F.col("own") != F.col("main")), "labels")
+        rest = label.where("rest")
         if not rest.limit(1).count():
             break
         if r < rounds:
-            of = rest.join(known.select("id", F.size("buckets").alias("degree")), "id")
-            one = of.groupBy("bucket").agg(F.max_by(F.struct("id", "own"), F.struct("degree", -F.col("id"))).alias("r")).select("bucket", "r.*")
-            new = allowed(ends(one, "x").join(ends(label, "y"), (x("bucket") == y("bucket")) & (x("own") != y("own"))).select(x("id").alias("x"), y("id").alias("y")))
+            new = pairs_of(ends(central(rest), "x").join(ends(label, "y"), "bucket").where((x("own") != y("own")) & may(x, y)))
         else:
-            # A pair is made in the first bucket that it shares, once: where both are rest, by the lesser.
-            full = lambda df: df.join(known.select("id", "buckets", *names), "id")
-            is_rest = label.join(rest.select("bucket", "id", F.lit(True).alias("rest")), ["bucket", "id"], "left").withColumn("rest", F.coalesce("rest", F.lit(False)))
-            first = F.array_min(F.array_intersect(x("buckets"), y("buckets"))) == x("bucket")
+            # All that is left: pairs of a rest and a main member, and of two of the rest, once.
             one_way = ~y("rest") | (x("id") < y("id"))
-            pairs = ends(full(rest), "x").join(ends(full(is_rest), "y"), (x("bucket") == y("bucket")) & (x("own") != y("own")) & one_way & may(x, y) & first)
-            new = pairs.select(F.least(x("id"), y("id")).alias("a"), F.greatest(x("id"), y("id")).alias("b")).distinct()
+            new = pairs_of(ends(rest, "x").join(ends(label, "y"), "bucket").where((x("own") != y("own")) & one_way & may(x, y)))
         fresh = cut(new.join(tried, ["a", "b"], "left_anti"), "fresh")
         more = cut(verify(fresh), "links")
-        if r < rounds:
-            tried = cut(tried.unionByName(fresh), "tried")
         if more.limit(1).count():
             links = cut(links.unionByName(more), "links")
             grouped = components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-        drop(label, rest, fresh)
+        if r < rounds:
+            tried = cut(tried.unionByName(fresh), "tried")
+        drop(label, fresh)
     return grouped
