@@ -91,3 +91,47 @@ def faults(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def adjacency(edges: DataFrame) -> DataFrame:
     """parent, children: its distinct children in order, as one string joined by commas."""
     return edges.groupBy("parent").agg(F.array_join(F.sort_array(F.collect_set("child")), ",").alias("children"))
+
+
+def closure(edges: DataFrame, rounds: int = 40) -> DataFrame:
+    """node, above: all pairs reachable over edges (node, above), by doubling; in a cycle nodes reach themselves."""
+    known = settle(edges.select("node", "above").distinct(), "closure")
+    n = known.count()
+    for _ in range(rounds):
+        longer = known.join(known.select(F.col("node").alias("above"), F.col("above").alias("next")), "above").select("node", F.col("next").alias("above"))
+        known, before = settle(known.unionByName(longer).distinct(), "closure"), n
+        n = known.count()
+        if n == before:
+            return known
+    raise RuntimeError(f"the closure did not settle in {rounds} rounds")
+
+
+def acyclic(edges: DataFrame, rounds: int = 1000) -> bool:
+    """Whether edges (parent, child) hold no cycle, a loop included: nodes without a parent are taken off until none is left, or nothing goes."""
+    left = settle(edges.select("parent", "child").distinct(), "acyclic")
+    n = left.count()
+    for _ in range(rounds):
+        if not n:
+            return True
+        left = settle(left.join(left.select(F.col("child").alias("parent")), "parent", "left_semi"), "acyclic")
+        n, before = left.count(), n
+        if n == before:
+            return False
+    raise RuntimeError(f"no end after {rounds} rounds")
+
+
+def levels(edges: DataFrame, nodes: DataFrame, rounds: int = 1000) -> DataFrame:
+    """node, level, place: a topological order; level is the longest way from a node without parents, places go by level, then name. A cycle raises ValueError."""
+    level = settle(nodes.select("node", F.lit(0).alias("level")), "levels")
+    edges = edges.select("parent", "child").distinct()
+    for r in range(1, rounds):
+        up = level.join(edges, level["node"] == edges["parent"]).where(F.col("level") == r - 1).select(F.col("child").alias("node"), F.lit(r).alias("level"))
+        if not up.limit(1).count():
+            counts = level.groupBy("level").agg(F.count("*").alias("m"))
+            before = counts.select("level", (F.sum("m").over(Window.orderBy("level")) - F.col("m")).alias("before"))
+            place = F.row_number().over(Window.partitionBy("level").orderBy("node"))
+            return level.withColumn("p", place).join(F.broadcast(before), "level").select("node", "level", (F.col("before") + F.col("p")).alias("place"))
+        if r > level.count():
+            raise ValueError("the edges hold a cycle")
+        level = settle(level.unionByName(up).groupBy("node").agg(F.max("level").alias("level")), "levels")
+    raise ValueError("the edges hold a cycle")
