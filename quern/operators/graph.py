@@ -135,3 +135,28 @@ def levels(edges: DataFrame, nodes: DataFrame, rounds: int = 1000) -> DataFrame:
             raise ValueError("the edges hold a cycle")
         level = settle(level.unionByName(up).groupBy("node").agg(F.max("level").alias("level")), "levels")
     raise ValueError("the edges hold a cycle")
+
+
+def pull(members: DataFrame, set_: str, member: str, start, rounds: int = 100) -> DataFrame:
+    """The members that sets pull in from a start: whoever shares a set with one that is in, until none is new."""
+    seen = settle(members.sparkSession.createDataFrame([(start,)], f"{member} {dict(members.dtypes)[member]}"), "pulled")
+    front = seen
+    for _ in range(rounds):
+        sets = members.join(front, member, "left_semi").select(set_).distinct()
+        front = settle(members.join(sets, set_, "left_semi").select(member).distinct().join(seen, member, "left_anti"), "pulled")
+        if not front.limit(1).count():
+            return seen
+        seen = settle(seen.unionByName(front), "pulled")
+    raise RuntimeError(f"the closure did not settle in {rounds} rounds")
+
+
+def climb(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
+    """node, above, hop: each start and its ancestors by all ways up, at most `depth` steps."""
+    level = found = starts.select("node", F.col("node").alias("above"), F.lit(0).alias("hop"))
+    up = edges.select(F.col("child").alias("above"), F.col("parent").alias("next"))
+    for h in range(1, depth + 1):
+        level = settle(level.join(up, "above").select("node", F.col("next").alias("above"), F.lit(h).alias("hop")), "climb")
+        if not level.limit(1).count():
+            break
+        found = found.unionByName(level)
+    return found

@@ -47,3 +47,15 @@ def promotion(kind: Column, asserted: Column, primary: Column, families: Column,
     sensitive = F.when(classification == 0, 0.0).when(classification == 1, 0.05).when(classification == 2, 0.15).otherwise(0.3)
     raw = 0.3 * explicit + 0.2 * use + 0.3 * trust + 0.2 * support - 0.2 * ambiguity - 0.1 * sensitive
     return F.least(F.greatest(raw, F.lit(0.0)), F.lit(1.0))
+
+
+def resolve(claims: DataFrame, at: int, complete: Column) -> DataFrame:
+    """subject, predicate, state (incomplete, unknown, known, conflict), valid_until, of known claims (negative ones take an object off) at a time."""
+    slot = ["subject", "predicate"]
+    ends = F.when(F.col("valid_from") > at, F.col("valid_from")).when(F.col("valid_to") > at, F.col("valid_to"))
+    until = claims.groupBy(*slot).agg(F.min(ends).alias("valid_until"))
+    gone = claims.where(F.col("negative") & (F.col("valid_from") <= at)).select(*slot, "object").distinct()
+    live = claims.where(~F.col("negative") & (F.col("valid_from") <= at) & (F.col("valid_to").isNull() | (F.lit(at) < F.col("valid_to")))).join(gone, [*slot, "object"], "left_anti")
+    n = live.groupBy(*slot).agg(F.count_distinct("object").alias("n"))
+    state = F.when(~complete, "incomplete").when(F.col("n").isNull(), "unknown").when(F.col("n") == 1, "known").otherwise("conflict")
+    return until.join(n, slot, "left").select(*slot, state.alias("state"), "valid_until")
