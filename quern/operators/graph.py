@@ -160,3 +160,27 @@ def climb(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
             break
         found = found.unionByName(level)
     return found
+
+
+def depths(level: DataFrame, steps: DataFrame, most: int) -> DataFrame:
+    """node, depth: the longest way of steps (node, child) from the nodes of `level` (node, depth), at most `most` steps."""
+    found = front = settle(level, "depths")
+    for d in range(1, most + 1):
+        front = settle(front.select("node").distinct().join(steps, "node").select(F.col("child").alias("node"), F.lit(d).alias("depth")), "depths")
+        if not front.limit(1).count():
+            break
+        found = found.unionByName(front)
+    return found.groupBy("node").agg(F.max("depth").alias("depth"))
+
+
+def violations(edges: DataFrame, known, root, fits, most_parents: int) -> DataFrame:
+    """rule, node of what breaks a hierarchy of edges (parent, child); known, root and fits are predicates of an edge."""
+    of = lambda rule, df: df.select(F.lit(rule).alias("rule"), "node")
+    twice = edges.groupBy("parent", "child").agg(F.count("*").alias("n")).where("n > 1").select(F.col("child").alias("node"))
+    many = edges.groupBy("child").agg(F.count_distinct("parent").alias("n")).where(F.col("n") > most_parents).select(F.col("child").alias("node"))
+    child, parent = F.col("child").alias("node"), F.col("parent").alias("node")
+    parts = [of("duplicate_edge", twice), of("too_many_parents", many), of("loop", edges.where("parent = child").select(child)), of("unknown_parent", edges.where(~known).select(parent)), of("root_has_parent", edges.where(root).select(child)), of("partition", edges.where(~fits).select(child))]
+    found = parts[0]
+    for p in parts[1:]:
+        found = found.unionByName(p)
+    return found.distinct()

@@ -65,3 +65,13 @@ def budget_prefix(rows: DataFrame, group: list[str], order: list, cost: str, bud
     """Rows of each group, in order, while the running cost is within the budget."""
     w = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return rows.withColumn("used", F.sum(cost).over(w)).where(F.col("used") <= budget)
+
+
+def bm25_words(rows: DataFrame, text: str, terms: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """doc_id, score: as bm25, over words of letters, digits and `_` of the text as it is lower-cased."""
+    words = F.regexp_extract_all(F.lower(text), F.lit(r"([A-Za-z0-9_]+)"), 1)
+    equals = lambda t: lambda x: x == t
+    counted = rows.select("doc_id", words.alias("w")).select("doc_id", F.size("w").alias("n"), *(F.size(F.filter("w", equals(t))).alias(f"tf{i}") for i, t in enumerate(terms)))
+    facts = counted.agg(F.count("*").alias("docs"), F.avg("n").alias("mean"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))))
+    score = sum((F.log(1 + (F.col("docs") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5)) * F.col(f"tf{i}") * (k1 + 1) / (F.col(f"tf{i}") + k1 * (1 - b + b * F.col("n") / F.col("mean"))) for i in range(len(terms))), F.lit(0.0))
+    return counted.join(F.broadcast(facts)).select("doc_id", score.alias("score"))
