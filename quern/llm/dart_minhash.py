@@ -6,8 +6,8 @@ signature's coordinates, and a coordinate keeps its earliest dart. Only darts be
 made, a few for each coordinate whatever the set's size; a document with an empty coordinate throws again, farther.
 Two sets agree in a coordinate with the probability of their weighted Jaccard similarity.
 
-Documents with the same words are one class. Classes that agree in a band are candidates (see linking), if enough of all
-coordinates agree; pairs are verified on whole texts.
+Documents with the same words are one class. Classes that agree in a band are candidates (see linking), unless their parities
+say that they differ in too many shingles (no similar pair is lost by that); pairs are verified on whole texts.
 """
 
 from __future__ import annotations
@@ -23,12 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_arrow, cut, scratch, text_batches
+from .common import bounded_arrow, cut, scratch, small_side, text_batches
 from .linking import linked, shared_members
 from .shingles import mix, shingles, similarity
 
-#: Bands, coordinates in a band; standard deviations by which the share of agreeing coordinates may fall short before a pair is ruled out.
-BANDS, ROWS, SLACK = 24, 5, 5.0
+#: Bands, coordinates in a band; longs of a document's parities: a bit says whether the shingles of its number are odd in count.
+BANDS, ROWS, PARITIES = 20, 4, 16
 _U = np.uint64
 
 
@@ -84,26 +84,26 @@ def banded(signature: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.nd
 
 
 def _sign(docs: DataFrame, bands: int, rows: int) -> DataFrame:
-    """doc_id, text_hash, words (a hash of the sequence of words; null if there is none), size (number of shingles), bands, coordinates (a byte of each)."""
+    """doc_id, text_hash, words (a hash of the sequence of words; null if there is none), size (number of shingles), bands, parities."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_batches(batches, 1_000_000):
             texts = b.column(2).to_pylist()
             doc, element, count, w, many = shingles(texts)
-            signed = signatures(doc, element, count.astype(np.float64), len(texts), bands * rows)
-            keys = banded(signed, bands, rows)
-            sample = np.zeros((len(texts), -(-bands * rows // 8) * 8), np.uint8)
-            sample[:, : bands * rows] = signed & _U(255)
+            keys = banded(signatures(doc, element, count.astype(np.float64), len(texts), bands * rows), bands, rows)
+            bit = (mix(element + _U(11)) % _U(64 * PARITIES)).astype(np.int64)
+            odd = np.bincount(doc * (64 * PARITIES) + bit, count, len(texts) * 64 * PARITIES).astype(np.int64) & 1
+            parities = np.packbits(odd.astype(np.uint8).reshape(len(texts), -1), axis=1, bitorder="little").view(np.int64)
             ends = np.cumsum(many)
             same = [hashlib.blake2b(w[e - n : e].tobytes(), digest_size=16).digest() if n else None for e, n in zip(ends, many)]
             lists = lambda m: pa.ListArray.from_arrays(pa.array(np.arange(0, m.size + 1, m.shape[1], dtype=np.int32)), pa.array(m.reshape(-1)))
             total = np.bincount(doc, count, len(texts)).astype(np.int64)
-            columns = [b.column(0), b.column(1), pa.array(same, pa.binary()), pa.array(total), lists(keys), lists(sample.view(np.int64))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "words", "size", "bands", "coordinates"])
+            columns = [b.column(0), b.column(1), pa.array(same, pa.binary()), pa.array(total), lists(keys), lists(parities)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "words", "size", "bands", "parities"])
 
     bounded_arrow(docs.sparkSession)
     of = docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string")), F.col("text").cast("string"))
-    return of.mapInArrow(run, "doc_id long, text_hash long, words binary, size long, bands array<long>, coordinates array<long>")
+    return of.mapInArrow(run, "doc_id long, text_hash long, words binary, size long, bands array<long>, parities array<long>")
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
@@ -111,7 +111,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, threshold:
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     first = cut(classes.join(ids, "id", "left_semi").select("id", "first.*"), "ids")
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"), F.col("text").cast("string").alias("text"))
-    texts = cut(own.join(first, ["doc_id", "text_hash"]).dropDuplicates(["id"]).select("id", "text"), "texts")
+    texts = cut(own.join(small_side(first), ["doc_id", "text_hash"]).dropDuplicates(["id"]).select("id", "text"), "texts")
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,24 +128,12 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, threshold:
     return both.mapInArrow(run, "a long, b long")
 
 
-def _may(threshold: float, size: int):
-    """Whether two classes can be as similar as asked: by their sizes, and by how many coordinates agree.
-
-    Of `size` coordinates of a pair that is, fewer agree than asked here with a probability under 0.00001.
-    """
-    least = math.floor(size * threshold - SLACK * math.sqrt(size * threshold * (1 - threshold)))
-    ones = F.lit(0x0101010101010101).cast("long")
-
-    def equal_bytes(a: Column, b: Column) -> Column:
-        apart = a.bitwiseXOR(b)
-        for by in (4, 2, 1):  # the last bit of each byte becomes 1 if any is
-            apart = apart.bitwiseOR(F.shiftrightunsigned(apart, by))
-        return F.lit(8) - F.bit_count(apart.bitwiseAND(ones))
+def _may(threshold: float):
+    """Whether two classes can be as similar as asked: by their sizes, and by the parities that differ, each for a shingle at least that one has more often."""
 
     def may(x, y) -> Column:
-        longs = -(-size // 8)
-        agree = reduce(add, (equal_bytes(F.get(x("coordinates"), F.lit(i)), F.get(y("coordinates"), F.lit(i))) for i in range(longs)))
-        return (F.least(x("size"), y("size")) >= threshold * F.greatest(x("size"), y("size"))) & (agree >= least + 8 * longs - size)
+        apart = reduce(add, (F.bit_count(F.get(x("parities"), F.lit(i)).bitwiseXOR(F.get(y("parities"), F.lit(i)))) for i in range(PARITIES)))
+        return (F.least(x("size"), y("size")) >= threshold * F.greatest(x("size"), y("size"))) & (apart <= (x("size") + y("size")) * ((1 - threshold) / (1 + threshold)) + 1e-6)
 
     return may
 
@@ -155,7 +143,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS,
     """doc_id, component_id, kept for every row: connected groups of documents whose shingles are similar.
 
     Two documents link at a weighted Jaccard similarity of `threshold` or more of their counted shingles of five words
-    (at 0.8 a link is a candidate with probability 0.9999). component_id is the smallest doc_id reachable; kept says that
+    (at 0.8 a link is a candidate with probability 0.99997). component_id is the smallest doc_id reachable; kept says that
     it is the document's own. Null texts, and texts without words, link with nothing and are kept. Rows with a null
     doc_id have a null component and are kept. Of rows that repeat a doc_id each goes by its own text.
     Texts of any length count whole; an empty table gives an empty result; further columns are ignored.
@@ -164,9 +152,9 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS,
     has = signed.where("doc_id is not null and words is not null")
     # A class is named by half of its hash, so that a repeated doc_id isn't one class.
     node = F.conv(F.substring(F.hex("words"), 2, 15), 16, 10).cast("long")
-    classes = cut(has.groupBy(node.alias("id"), "words").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.any_value("size").alias("size"), F.any_value("coordinates").alias("coordinates"), F.any_value("bands").alias("bands")), "classes")
+    classes = cut(has.groupBy(node.alias("id"), "words").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.any_value("size").alias("size"), F.any_value("parities").alias("parities"), F.any_value("bands").alias("bands")), "classes")
     members = shared_members(classes.select(F.explode("bands").alias("bucket"), "id"))
-    grouped = linked(members, classes.select("id", "size", "coordinates"), lambda pairs: _verified(pairs, classes, docs, threshold), _may(threshold, bands * rows))
+    grouped = linked(members, classes.select("id", "size", "parities"), lambda pairs: _verified(pairs, classes, docs, threshold), _may(threshold))
     of = cut(classes.join(grouped.withColumnRenamed("node", "id"), "id").select("words", "component", "first.doc_id"), "grouped")
     least = of.groupBy("component").agg(F.min("doc_id").alias("least"))
     named = of.join(least, "component").select("words", F.col("least").alias("component_id"))
