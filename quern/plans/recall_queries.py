@@ -128,7 +128,7 @@ def greedy_density(spark, d):
 def minimal_evidence(spark, d):
     """The fewest best pieces for each order's claims (its parts and suppliers)."""
     li = table(spark, d, "lineitem")
-    e = li.select(F.col("l_orderkey").alias("block"), F.col("l_linenumber").alias("id"), F.array(F.col("l_partkey") % 4, F.col("l_suppkey") % 3 + 10).alias("claims"), (F.col("l_returnflag") == "R").alias("primary"), F.floor(F.col("l_discount") * 1000).cast("long").alias("trust"), F.floor("l_quantity").cast("long").alias("tokens"))
+    e = li.select(F.col("l_orderkey").alias("block"), (F.col("l_partkey") * 100_000 + F.col("l_suppkey")).alias("id"), F.array(F.col("l_partkey") % 4, F.col("l_suppkey") % 3 + 10).alias("claims"), (F.col("l_returnflag") == "R").alias("primary"), F.floor(F.col("l_discount") * 1000).cast("long").alias("trust"), F.floor("l_quantity").cast("long").alias("tokens"))
     return packing.cover(e, "block").select("block", F.array_join(F.transform("ids", lambda i: i.cast("string")), ",").alias("ids"))
 
 
@@ -291,9 +291,9 @@ def vector_delta_overlay(spark, d):
 
 @query()
 def partitioned_vector_search(spark, d):
-    """Approximate search by cells: the query visits the nearest few cells, exact scores there. Recall is tested against all rows."""
+    """Approximate search by cells: the query visits the nearest cells, exact scores there (many, as these vectors hardly cluster). Recall is tested against all rows."""
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    return vectors.search(vectors.build(v, cells=16), v.where("id % 50 = 0"), probes=6, k=10)
+    return vectors.search(vectors.build(v, cells=16), v.where("id % 50 = 0"), probes=13, k=10)
 
 
 @query("SELECT 'published' AS pointer, max(vec_id) // 100 AS generation FROM embeddings WHERE vec_id % 100 < 90 UNION ALL SELECT 'staged', max(vec_id) // 100 + 1 FROM embeddings WHERE vec_id % 100 < 90")
