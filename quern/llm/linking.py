@@ -56,9 +56,11 @@ def linked(members: DataFrame, facts: DataFrame, verify: Callable[[DataFrame], D
         if r < rounds:
             new = pairs_of(ends(central(rest), "x").join(ends(label, "y"), "bucket").where((x("own") != y("own")) & may(x, y)))
         else:
-            # All that is left: pairs of a rest and a main member, and of two of the rest, once.
+            # All that is left: pairs of a rest and a main member, and of two of the rest; each in the first bucket that it shares.
+            every = label.join(members.groupBy("id").agg(F.collect_list("bucket").alias("buckets")), "id")
             one_way = ~y("rest") | (x("id") < y("id"))
-            new = pairs_of(ends(rest, "x").join(ends(label, "y"), "bucket").where((x("own") != y("own")) & one_way & may(x, y)))
+            first = F.array_min(F.array_intersect(x("buckets"), y("buckets"))) == F.col("bucket")
+            new = pairs_of(ends(every.where("rest"), "x").join(ends(every, "y"), "bucket").where((x("own") != y("own")) & one_way & may(x, y) & first))
         fresh = cut(new.join(tried, ["a", "b"], "left_anti"), "fresh")
         more = cut(verify(fresh), "links")
         if more.limit(1).count():
