@@ -39,12 +39,15 @@ def linked(members: DataFrame, facts: DataFrame, verify: Callable[[DataFrame], D
     full = cut(members.join(degree.join(facts, "id"), "id"), "members")
     ends = lambda df, end: df.select("bucket", *(F.col(c).alias(f"{c}_{end}") for c in df.columns if c != "bucket"))
     x, y = (lambda c: F.col(f"{c}_x")), (lambda c: F.col(f"{c}_y"))
-    central = lambda df: df.groupBy("bucket").agg(F.max_by(F.struct("id", *names, *(["own"] if "own" in df.columns else [])), F.struct("degree", -F.col("id"))).alias("r")).select("bucket", "r.*")
+    central = lambda df: df.groupBy("bucket").agg(F.max_by(F.struct("id", *names, *(["own"] if "own" in df.columns else [])), F.struct("degree", -F.col("id"))).alias("r"), F.count("*").alias("many")).select("bucket", "r.*", "many")
     pairs_of = lambda df: df.select(F.least(x("id"), y("id")).alias("a"), F.greatest(x("id"), y("id")).alias("b")).distinct()
     lead = cut(central(full), "leads")
     tried = cut(pairs_of(ends(lead, "x").join(ends(full, "y"), "bucket").where((x("id") != y("id")) & may(x, y))), "tried")
     links = cut(verify(tried), "links")
     grouped = components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    # A bucket of two is done; most are.
+    full, two = cut(full.join(lead.where("many > 2").select("bucket"), "bucket"), "members"), full
+    drop(two)
     for r in range(rounds + 1):
         label = full.join(grouped.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", "degree", *names, F.coalesce("component", "id").alias("own"))
         # A bucket whose members are all in one component is done: only others go on.
