@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from .byte_gru import WINDOW, Gru
 from .common import bounded_arrow, text_batches
 
-#: The bounded training sample: documents of each language, windows of each document, languages (the most frequent).
-PER_LANGUAGE, WINDOWS, LANGUAGES = 250, 6, 64
+#: The bounded training sample: documents of each language, windows of each document. Every language that occurs is learned.
+PER_LANGUAGE, WINDOWS = 250, 6
 UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}")
 
@@ -27,14 +27,13 @@ def held_out(doc_id):
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, windows: int = WINDOWS, steps: int = 350) -> Gru | None:
     """A network trained on windows from anywhere in the texts of a bounded sample of labelled documents.
 
-    Documents whose remainder is 0 and those without text or language are left out. None if nothing is left.
+    Documents whose remainder is 0 and those without text or language are left out. None if nothing is left. Rows are chosen, not
+    ids: of rows that repeat an id only those chosen are read, and equal rows count once, so the sample is bounded.
     """
+    own = F.xxhash64("text")
     may = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    most = [r.lang for r in may.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
-    if not most:
-        return None
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ids = may.where(F.col("lang").isin(most)).select("doc_id", "lang").withColumn("i", place).where(F.col("i") <= per_language).select("doc_id").distinct()
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "own"))
+    chosen = may.select("doc_id", "lang", own.alias("own")).withColumn("i", place).where(F.col("i") <= per_language).select("doc_id", "lang", "own").distinct()
 
     def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_batches(batches):
@@ -47,8 +46,8 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, windows: int = WINDOW
                         out.append((doc_id, at, lang, data[at : at + WINDOW]))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [[]] * 4, (pa.int64(), pa.int64(), pa.string(), pa.binary()))], names=["doc_id", "at", "lang", "piece"])
 
-    sample = may.where(F.col("lang").isin(most)).join(F.broadcast(ids), "doc_id").select(F.col("doc_id").cast("long"), "lang", "text")
-    rows = sorted({tuple(r) for r in sample.mapInArrow(some, "doc_id long, at long, lang string, piece binary").collect()}, key=lambda r: (r[0], r[1], r[2], bytes(r[3])))
+    sample = may.withColumn("own", own).join(F.broadcast(chosen), ["doc_id", "lang", "own"]).select(F.col("doc_id").cast("long"), "lang", "text")
+    rows = sorted({tuple(r) for r in sample.mapInArrow(some, "doc_id long, at long, lang string, piece binary").distinct().collect()}, key=lambda r: (r[0], r[1], r[2], bytes(r[3])))
     if not rows:
         return None
     names = sorted({r[2] for r in rows})
