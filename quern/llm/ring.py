@@ -8,7 +8,8 @@ counts differ by one at most (law `rows`), and a row leaves its home only if tha
 Which rows of an arc overflow is a matter of counts: the counts of the arcs (shards x vnodes numbers, whatever
 the size of the corpus) are walked around the ring on the driver, which gives for every arc a list of runs
 (rows a to b of the arc go to shard s, from slot t on). Rows get their rank within their arc and look their
-run up. No text is shuffled, and no row is collected.
+run up. An arc may hold many rows (all null ids are on one): equal rows are counted before they are ranked, others ranked in parts.
+No text is shuffled, and no row is collected.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from pyspark.sql import functions as F
 from .common import cut
 
 LAW = "rows"
+#: Parts in which the rows of an arc are ranked, and equal rows that are made again in one go.
+PARTS, CHUNK = 64, 100_000
 
 
 def _points(shards: int, vnodes: int) -> list[tuple[int, int]]:
@@ -83,11 +86,20 @@ def shard(docs: DataFrame, shards: int = 16, vnodes: int = 128) -> DataFrame:
     byte = (F.shiftright("place", 56) + 128).cast("int")
     below = F.size(F.filter(F.get(lists, byte), lambda p: p < F.col("place")))
     rows = rows.withColumn("arc", ((F.get(starts, byte) + below) % len(points)).cast("int"))
-    rows = cut(rows, "ring")
-    counted = {r.arc: r["n"] for r in rows.groupBy("arc").agg(F.count("*").alias("n")).collect()}
+    same = ["arc", "place", "doc_id", "text_crc32", "size"]
+    part = F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(PARTS)).cast("int").alias("part")
+    groups = cut(rows.groupBy(*same).agg(F.count("*").alias("many")).select("*", part), "ring")
+    counts = groups.groupBy("arc", "part").agg(F.sum("many").alias("n"))
+    counted = {r.arc: r["n"] for r in counts.groupBy("arc").agg(F.sum("n").alias("n")).collect()}
     runs = flow([counted.get(a, 0) for a in range(len(points))], owners, shards)
     # At most one run for each arc and, over all arcs, one more for each time that a shard fills up.
     table = spark.createDataFrame(runs or [(-1, 0, 0, 0, 0)], "arc int, first long, last long, shard int, base long")
-    rank = F.row_number().over(Window.partitionBy("arc").orderBy("place", "doc_id", "text_crc32", "size")).cast("long") - 1
-    placed = rows.withColumn("rank", rank).alias("r").join(F.broadcast(table).alias("t"), F.expr("r.arc = t.arc and r.rank between t.first and t.last"))
+    before = counts.select("arc", "part", (F.sum("n").over(Window.partitionBy("arc").orderBy("part")) - F.col("n")).alias("before"))
+    inside = F.sum("many").over(Window.partitionBy("arc", "part").orderBy("place", "doc_id", "text_crc32", "size"))
+    ranked = groups.withColumn("inside", inside - F.col("many")).join(F.broadcast(before), ["arc", "part"]).withColumn("rank", F.col("before") + F.col("inside"))
+    # Equal rows are made again: at most CHUNK by one task at a time.
+    ones = ranked.where("many = 1").select(*same, "rank")
+    starts_ = ranked.where("many > 1").select(*same, "many", "rank", F.explode(F.sequence(F.lit(0).cast("long"), F.col("many") - 1, F.lit(CHUNK).cast("long"))).alias("at")).repartition("arc", "doc_id", "at")
+    again = starts_.select(*same, "rank", F.explode(F.sequence("at", F.least(F.col("at") + CHUNK, F.col("many")) - 1)).alias("i")).select(*same, (F.col("rank") + F.col("i")).alias("rank"))
+    placed = ones.unionByName(again).alias("r").join(F.broadcast(table).alias("t"), F.expr("r.arc = t.arc and r.rank between t.first and t.last"))
     return placed.select("doc_id", "size", "text_crc32", F.lit(LAW).alias("law"), "shard", (F.col("base") + F.col("rank") - F.col("first")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), F.get(F.array(*[F.lit(o) for o in owners]), F.col("r.arc")).alias("home_shard"))
