@@ -28,11 +28,15 @@ class Graph:
 
     def __init__(self, x: np.ndarray, degree: int = 32, beam: int = 64, alpha: float = 1.2):
         self.x, self.degree, self.beam, self.alpha = x, degree, beam, alpha
-        self.f = x.astype(np.float32)
+        # Steps go in single precision, around the middle and at most 1 in size, so that neither large components nor an offset hurt.
+        low, high = x.min(axis=0), x.max(axis=0)
+        self.middle = low / 2 + high / 2
+        self.scale = float(np.abs(x / 2 - self.middle / 2).max() * 2) or 1.0
+        self.f = self._small(x)
         n = len(x)
         self.edges = np.full((n, degree), -1, dtype=np.int64)
         self.fill = np.zeros(n, dtype=np.int64)
-        self.start = int(np.argmin(((x - x.mean(axis=0)) ** 2).sum(axis=1)))
+        self.start = int(np.argmin(((self.f - self.f.mean(axis=0)) ** 2).sum(axis=1)))
         order = np.random.default_rng(7).permutation(n)
         order = np.concatenate([[self.start], order[order != self.start]])
         done = 1
@@ -41,13 +45,16 @@ class Graph:
             self._insert(batch)
             done += len(batch)
 
+    def _small(self, q: np.ndarray) -> np.ndarray:
+        return np.clip(q / self.scale - self.middle / self.scale, -1e9, 1e9).astype(np.float32)
+
     def search(self, q: np.ndarray, beam: int, start: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Rows and squared distances in the beams of the queries, nearest first; -1 where there are fewer.
 
         All queries take a step at a time: each expands the nearest row of its beam that isn't expanded yet.
         """
         m, n = len(q), len(self.x)
-        q = q.astype(np.float32)
+        q = self._small(q)
         ids = np.full((m, beam), -1, dtype=np.int64)
         dist = np.full((m, beam), np.inf, dtype=np.float32)
         open_ = np.zeros((m, beam), dtype=bool)
@@ -113,6 +120,16 @@ class Graph:
             self.edges[k, : len(kept)], self.edges[k, len(kept) :], self.fill[k] = kept, -1, len(kept)
 
 
+def distances(x: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Euclidean distances of the rows of x from v in double precision, also where squares would overflow."""
+    gap = x - v
+    plain = np.sqrt((gap**2).sum(axis=1))
+    if np.isfinite(plain).all():
+        return plain
+    most = np.abs(gap).max(axis=1, keepdims=True)
+    return np.where(np.isfinite(plain), plain, most[:, 0] * np.sqrt(((gap / np.where(most > 0, most, 1)) ** 2).sum(axis=1)))
+
+
 def nearest(rows: DataFrame, every: int = 100, k: int = 10, degree: int = 32, beam: int = 96, alpha: float = 1.2, shard: int = SHARD) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of every row whose vec_id is divisible by `every`.
 
@@ -150,7 +167,7 @@ def nearest(rows: DataFrame, every: int = 100, k: int = 10, degree: int = 32, be
                 found, _ = g.search(q, beam)
                 for v, name, near in zip(q, names, found):
                     near = near[near >= 0]
-                    d = np.sqrt(((x[near] - v) ** 2).sum(axis=1))
+                    d = distances(x[near], v)
                     pairs = sorted((s, int(c)) for s, r in zip(d.tolist(), near) for c in ids[r] if c != name)[:k]
                     parts.append(pd.DataFrame({"query_id": name, "vec_id": [c for _, c in pairs], "score": [s for s, _ in pairs]}))
         return pd.concat(parts) if parts else pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
