@@ -13,20 +13,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of a table that may be broadcast, and their bytes at most (a Spark row has 8 bytes a column and 16 more).
-BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64 << 20
+BROADCAST_ROWS, BROADCAST_BYTES = 2_000_000, 64 << 20
 #: Removes a query's shuffle files when it has ended, not when the driver collects its garbage.
 CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _scopes: list[list[str]] = []
 
 
+#: Folders of sessions on a local master that name none.
+_temporary: dict[str, str | None] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir. Unset, it is made on a local master only (as in tests)."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        at = "file://" + tempfile.mkdtemp(prefix="quern-")
-        spark.conf.set("spark.checkpoint.dir", at)
+        at = _temporary.setdefault(spark.sparkContext.applicationId, None) or "file://" + tempfile.mkdtemp(prefix="quern-")
+        _temporary[spark.sparkContext.applicationId] = at
     return at.rstrip("/")
 
 
