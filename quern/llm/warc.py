@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from .common import cut, shared_dir, text_batches
 
-#: An archive is closed at this size; payloads under LEAST bytes are never revisits.
-ARCHIVE_BYTES, LEAST = 32 << 20, 100
+#: An archive is closed at this size; payloads under LEAST bytes are never revisits; groups of equal payloads that are broadcast at most (about 100 bytes each).
+ARCHIVE_BYTES, LEAST, GROUPS = 32 << 20, 100, 200_000
 VERSION, MEMBER = b"WARC/1.1\r\n", b"\x1f\x8b\x08"
 #: Versions that are read, all as long as VERSION, and the digests that are verified; of others nothing is known.
 VERSIONS, DIGESTS = (b"WARC/1.0\r\n", VERSION), ("md5", "sha1", "sha256", "sha512")
@@ -259,8 +259,9 @@ def mark_revisits(pages: DataFrame, payload: Column) -> DataFrame:
     """
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), payload.alias("payload")).withColumn("digest", F.sha2("payload", 256))
     keyed = rows.where(F.length("payload") >= LEAST).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1 and first_id is not null")
-    # One side of the join has a row for each group, the other may hold a very large group: adaptive skew handling splits it.
-    joined = rows.join(keyed.select("digest", "first_id"), "digest", "left")
+    # A group's rows stay where they are if there are few groups; else adaptive skew handling splits a large one.
+    groups = cut(keyed.select("digest", "first_id"), "groups")
+    joined = rows.join(F.broadcast(groups) if groups.limit(GROUPS + 1).count() <= GROUPS else groups, "digest", "left")
     revisit = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
     return joined.select("page_id", "url", "payload", "digest", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("first_id")).alias("refers_to"))
 
