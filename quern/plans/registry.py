@@ -25,7 +25,7 @@ WORDS = ["the", "thand", "onthe", "of"]
 TOKENS_SQL = "list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')"
 AT = 1_705_000_000_000_000
 #: Modules of queries beside this one.
-MODULES = ("scalar_queries", "policy_queries", "scan_queries", "time_queries", "measure_queries", "graph_queries", "write_queries", "recall_queries", "stream_queries")
+MODULES = ("scalar_queries", "policy_queries", "scan_queries", "time_queries", "measure_queries", "graph_queries", "write_queries", "recall_queries", "stream_queries", "more_queries")
 
 
 def query(sql: str | None = None):
