@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numbers
 from ..operators import capture, graph, measures, policy, retrieval, temporal, truth
+from ..sources.steps import settle
 from ..sources.tables import CLAIMS_SQL, DOCUMENTS_SQL, EDGES_SQL, claims, documents, edges, micros, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -387,7 +388,8 @@ _FUSION_SQL = f"""WITH {DOCUMENTS_SQL}, {_BM25_SQL},
 @query(_FUSION_SQL.replace("1000000 * 1000000 AS w", "CAST(1000000 AS BIGINT) * 1000000 AS w"))
 def recall_fusion(spark, d):
     """The flagship: authorized documents only, three routes, fusion in whole numbers, a trust modifier, the best twenty."""
-    docs = documents(spark, d).where(policy.allows(PRINCIPAL))
+    # The admitted rows are made once; every route reads them.
+    docs = settle(documents(spark, d).where(policy.allows(PRINCIPAL)).select("doc_id", "text", "trust"), "recall")
     lexical = retrieval.bm25(docs, WORDS[1:]).select(F.col("doc_id").alias("id"), F.round("score", 6).alias("score"))
     over = docs.select(F.col("doc_id").alias("id"), retrieval.overlap("text", WORDS).alias("score")).where("score > 0")
     v = table(spark, d, "embeddings")
