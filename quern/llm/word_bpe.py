@@ -20,11 +20,11 @@ KEEP_WORDS, LONG = 450_000, 48
 # Fixed values of the tokenizer file's format: how words are found and what ends them.
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 WORD_END = "</w>"
-#: Letters and other number signs below U+0250, which no version of Unicode has moved; texts of these signs need no library.
-_LETTERS, _NUMBERS = "a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u00ff\u0100-\u024f", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
+#: Letters and other number signs below U+0180, in lower case below it, too, which no version of Unicode has moved; texts of these signs need no library.
+_LETTERS, _NUMBERS = "a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u00ff\u0100-\u017f", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
 _PLAIN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\\s{_LETTERS}{_NUMBERS}]+").findall
-#: White space of Python's alone, a capital that becomes two signs, and all signs from U+0250 on but common punctuation.
-_ODD = re.compile("[\x1c-\x1f\u0130\u0250-\u200a\u200b-\u200f\u202a-\u202e\u2030-\U0010ffff]").search
+#: White space of Python's alone, a capital that becomes two signs, and all signs from U+0180 on but common punctuation.
+_ODD = re.compile("[\x1c-\x1f\u0130\u0180-\u200a\u200b-\u200f\u202a-\u202e\u2030-\U0010ffff]").search
 
 
 class Splitter:
