@@ -231,7 +231,7 @@ def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
             for path in b.column(0).to_pylist():
                 rows, held = [], 0
                 store, at = _open(path)
-                with store.open_input_stream(at) as stream:
+                with store.open_input_stream(at, compression=None) as stream:
                     for start, n, head, block, gap in salvage(stream):
                         if head is None:
                             rows.append((path, start, n, None, None, None, None, None, None, None, gap))
@@ -284,7 +284,7 @@ def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_B
         def close() -> None:
             nonlocal held, records, size
             name = f"pages-{uuid.uuid4().hex}.warc.gz"
-            with store.open_output_stream(f"{base}/.{name}") as out:
+            with store.open_output_stream(f"{base}/.{name}", compression=None) as out:
                 out.write(held.getbuffer())
             store.move(f"{base}/.{name}", f"{base}/{name}")
             done.append({"archive": f"{folder}/{name}", "records": records, "bytes": size})
