@@ -65,7 +65,8 @@ class Ids:
         known = self.words
         new = list({w for ws in parts if ws for w in ws if w not in known})
         self._learn(new)
-        out = [self._whole(t or "") if ws is None else b"".join([known[w] for w in ws]) for t, ws in zip(texts, parts)]
+        of = known.__getitem__
+        out = [self._whole(t or "") if ws is None else b"".join(map(of, ws)) for t, ws in zip(texts, parts)]
         for w in new:
             if len(w) > LONG:
                 del known[w]
