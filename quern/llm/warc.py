@@ -269,7 +269,8 @@ def mark_revisits(pages: DataFrame, payload: Column) -> DataFrame:
 def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Write a record for every row of `pages` (page_id, url, html; null html is an empty payload); the table of archives.
 
-    Returns archive, records, bytes, already written. Tasks that are repeated replace what they wrote.
+    Returns archive, records, bytes, already written. A task that is repeated writes archives of other names; those of the attempt before stay
+    in the folder, but the table names them not, so nothing is read twice.
     """
     marked = mark_revisits(pages, F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8"))
     schema = pa.schema([("archive", pa.string()), ("records", pa.int64()), ("bytes", pa.int64())])
