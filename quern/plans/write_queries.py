@@ -45,12 +45,12 @@ def observe_idempotent(spark, d):
     return revisions.receipts(e, ["user_id", "slot"], "event_id", "event_type").select("event_id", "outcome")
 
 
-_DEPENDS_SQL = "links AS (SELECT event_id AS id, event_id - (event_id % 9 + 1) * 5 AS depends_on FROM events WHERE event_id % 3 > 0 AND event_id >= 50)"
+_DEPENDS_SQL = "links AS (SELECT event_id AS id, event_id - (event_id % 9 + 1) * 5 AS depends_on FROM events WHERE event_id % 3 > 0 AND event_id % 500 >= 110)"
 
 
 def _depends(spark, d):
     i = F.col("event_id")
-    return table(spark, d, "events").where("event_id % 3 > 0 and event_id >= 50").select(i.alias("id"), (i - (i % 9 + 1) * 5).alias("depends_on"))
+    return table(spark, d, "events").where("event_id % 3 > 0 and event_id % 500 >= 110").select(i.alias("id"), (i - (i % 9 + 1) * 5).alias("depends_on"))
 
 
 @query(f"""WITH RECURSIVE {_DEPENDS_SQL}, w(id, root) AS (SELECT event_id, event_id FROM events WHERE event_id % 500 = 100 UNION SELECT l.id, w.root FROM w JOIN links l ON l.depends_on = w.id), m AS (SELECT id, min(root) AS root FROM w GROUP BY id)
