@@ -11,21 +11,45 @@ from ..functions import text
 AUTO, SENSITIVE, MARGIN = 0.9, 0.98, 0.03
 
 
+def _near_names(mentions: DataFrame, records: DataFrame, least: float) -> DataFrame:
+    """name, r_name: distinct names of both sides that share a word and at least the share `least` of their words; further pairs may come.
+
+    Two such names share one of their rarest words, if each counts as many as can be without the share (a prefix filter). So a word that all
+    names have joins nothing, unless names may have as little in common.
+    """
+    side = lambda df, own: df.select("name").where("name is not null").distinct().select(F.lit(own).alias("own"), "name", F.explode(F.array_distinct(F.split("name", " "))).alias("word"))
+    words = side(mentions, True).unionByName(side(records, False))
+    ranked = words.join(words.groupBy("word").agg(F.count("*").alias("many")), "word").groupBy("own", "name").agg(F.array_sort(F.collect_list(F.struct("many", "word"))).alias("words"))
+    n = F.size("words")
+    rare = ranked.select("own", "name", F.explode(F.slice("words", F.lit(1), n - F.greatest(F.ceil(n * least - 1e-9), F.lit(1)).cast("int") + 1)).alias("w")).select("own", "name", "w.word")
+    return rare.where("own").select("word", "name").join(rare.where("not own").select("word", F.col("name").alias("r_name")), "word").select("name", "r_name").distinct()
+
+
 def resolve(mentions: DataFrame, records: DataFrame, keep: float = 0.5) -> DataFrame:
     """mention, result (existing, ambiguous, new), node, score of mentions (mention, name, scope, sensitive) among records (node, name, scope, active, sensitive).
 
-    Candidates share a word of the name, so that they meet in an equi-join; an equal name scores 0.7, else 0.35 times the overlap of words.
-    The same scope, the type (asked before) and active context add 0.15, 0.1 and 0.05.
+    Candidates share a word of the name; an equal name scores 0.7, else 0.35 times the overlap of words. The same scope, the type (asked before)
+    and active context add 0.15, 0.1 and 0.05. Only the two best candidates of a mention count, and all that a score depends on is name, scope and
+    active: so distinct names meet, and of records equal in these the two least nodes.
     """
-    words = lambda df: F.explode(F.array_distinct(F.split("name", " "))).alias("word")
-    met = mentions.select("mention", words(mentions)).join(records.select("node", words(records)), "word").select("mention", "node").distinct()
-    both = met.join(mentions.select("mention", "name", "scope", "sensitive"), "mention").join(records.select("node", F.col("name").alias("r_name"), F.col("scope").alias("r_scope"), "active", F.col("sensitive").alias("r_sensitive")), "node")
+    top = lambda df, *by: df.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy("node"))).where("_r <= 2").drop("_r")
+    of_scope = top(records.select("node", F.col("name").alias("r_name"), F.col("scope").alias("r_scope"), F.coalesce("active", F.lit(False)).alias("active"), F.col("sensitive").alias("r_sensitive")), "r_name", "r_scope", "active")
+    # What no other score may lack of 0.35: the sum of the rest.
+    pairs = _near_names(mentions, records, min(1.0, (keep - 0.3) / 0.35 - 1e-6))
+    asked = mentions.select("name", "scope").distinct().join(pairs, "name")
+    same = F.coalesce(F.col("scope") == F.col("r_scope"), F.lit(False))
+    # A record of another scope comes after two of the same: so it is enough to ask the two least nodes of any scope.
+    met = asked.join(of_scope.withColumn("scope", F.col("r_scope")), ["r_name", "scope"]).withColumn("same", F.lit(True))
+    met = met.unionByName(asked.join(top(of_scope, "r_name", "active"), "r_name").where(~same).withColumn("same", F.lit(False)))
     a, b = F.split("name", " "), F.split("r_name", " ")
     overlap = F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))
-    score = F.when(F.col("name") == F.col("r_name"), 0.7).otherwise(0.35 * overlap) + F.when(F.col("scope") == F.col("r_scope"), 0.15).otherwise(0.0) + 0.1 + F.when(F.col("active"), 0.05).otherwise(0.0)
-    scored = both.withColumn("score", F.round(F.least(score, F.lit(1.0)), 9)).where(F.col("score") >= keep)
+    score = F.when(F.col("name") == F.col("r_name"), 0.7).otherwise(0.35 * overlap) + F.when(F.col("same"), 0.15).otherwise(0.0) + 0.1 + F.when(F.col("active"), 0.05).otherwise(0.0)
+    scored = met.withColumn("score", F.round(F.least(score, F.lit(1.0)), 9)).where(F.col("score") >= keep)
+    two = scored.withColumn("_r", F.row_number().over(Window.partitionBy("name", "scope").orderBy(F.desc("score"), "node"))).where("_r <= 2")
+    two = two.select(F.col("name").alias("m_name"), F.col("scope").alias("m_scope"), "node", "r_sensitive", "score")
+    both = mentions.join(two, (F.col("name") == F.col("m_name")) & F.col("scope").eqNullSafe(F.col("m_scope")))
     w = Window.partitionBy("mention").orderBy(F.desc("score"), "node")
-    best = scored.withColumn("place", F.row_number().over(w)).withColumn("second", F.lead("score").over(w)).where("place = 1")
+    best = both.withColumn("place", F.row_number().over(w)).withColumn("second", F.lead("score").over(w)).where("place = 1")
     enough = F.col("score") >= F.when(F.col("sensitive") | F.col("r_sensitive"), SENSITIVE).otherwise(AUTO)
     clear = F.col("second").isNull() | (F.round(F.col("score") - F.col("second"), 9) >= MARGIN)
     found = best.select("mention", F.when(enough & clear, "existing").otherwise("ambiguous").alias("result"), "node", "score")
