@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import pairwise
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,44 +66,70 @@ def _ordered(group: pd.DataFrame, mandatory: bool) -> list[int]:
 
 def minimal_evidence(evidence: pd.DataFrame, claims: list, primary: bool = False) -> list:
     """Ids of the pieces that cover all claims: each time primary ones first, then most uncovered claims, trust, few tokens, the smaller id. None if they can't."""
-    rows = [(bool(r.primary), set(r.claims), int(r.trust), max(int(r.tokens), 1), r.id) for r in evidence.itertuples()]
-    left, taken = set(claims), []
+    return _least([(bool(r.primary), set(r.claims), int(r.trust), max(int(r.tokens), 1), r.id) for r in evidence.itertuples()], set(claims), primary)
+
+
+def _least(rows: list[tuple], left: set, primary: bool) -> list:
+    """minimal_evidence of rows (primary, set of claims, trust, tokens, id)."""
+    taken = []
     while left:
-        best = max(((p, len(c & left), t, -n, _Down(i), i, c) for p, c, t, n, i in rows if i not in taken and c & left), key=lambda r: r[:5], default=None)
+        best = order = None
+        for p, c, t, n, i in rows:
+            if (gain := len(c & left)) and i not in taken:
+                o = (p, gain, t, -n)
+                if best is None or o > order or (o == order and i < best[0]):
+                    best, order = (i, c), o
         if best is None:
             return []
-        taken.append(best[5])
-        left -= best[6]
+        taken.append(best[0])
+        left = left - best[1]
     if primary and not any(p for p, _, _, _, i in rows if i in taken):
-        more = max(((t, _Down(i), i) for p, _, t, _, i in rows if p and i not in taken), key=lambda r: r[:2], default=None)
+        more = None
+        for p, _, t, _, i in rows:
+            if p and i not in taken and (more is None or t > more[0] or (t == more[0] and i < more[1])):
+                more = (t, i)
         if more is None:
             return []
-        taken.append(more[2])
+        taken.append(more[1])
     return sorted(taken)
 
 
-class _Down:
-    """Orders backwards."""
-
-    def __init__(self, v):
-        self.v = v
-
-    def __lt__(self, other) -> bool:
-        return other.v < self.v
-
-    def __eq__(self, other) -> bool:
-        return self.v == other.v
+def _values(a: pa.Array) -> list:
+    """What to_pylist gives; numbers and lists of numbers without nulls faster."""
+    if a.null_count == 0 and pa.types.is_list(a.type):
+        flat, at = _values(a.values), a.offsets.to_numpy().tolist()
+        return [flat[i:j] for i, j in pairwise(at)]
+    plain = a.null_count == 0 and (pa.types.is_integer(a.type) or pa.types.is_boolean(a.type))
+    return a.to_numpy(zero_copy_only=False).tolist() if plain else a.to_pylist()
 
 
 def cover(evidence: DataFrame, block: str, primary: bool = False) -> DataFrame:
-    """block, ids: the minimal evidence of each block (rows block, id, claims, primary, trust, tokens), null if its claims can't be covered."""
-    kind = dict(evidence.dtypes)
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        claims = sorted({c for cs in group["claims"] for c in cs})
-        return pd.DataFrame({block: [group[block].iloc[0]], "ids": [minimal_evidence(group, claims, primary) or None]})
+    """block, ids: the minimal evidence of each block (rows block, id, claims, primary, trust, tokens), null if its claims can't be covered.
 
-    return evidence.groupBy(block).applyInPandas(run, f"{block} {kind[block]}, ids array<{kind['id']}>")
+    Blocks are many and small: they are read in order from one stream a partition, as a call for each would cost more than its rows.
+    """
+    kind = dict(evidence.dtypes)
+    schema = f"{block} {kind[block]}, ids array<{kind['id']}>"
+    columns = [block, "primary", "claims", "trust", "tokens", "id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, rows, types = None, [], None
+        ids = lambda: _least(rows, set().union(*(r[1] for r in rows)), primary) or None
+        made = lambda done: pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*done, strict=True), types, strict=True)], names=[block, "ids"])
+        for batch in batches:
+            types, done = (batch.schema.field(block).type, pa.list_(batch.schema.field("id").type)), []
+            for at, p, claims, trust, tokens, i in zip(*(_values(batch.column(c)) for c in columns), strict=True):
+                if rows and at != own:
+                    done.append((own, ids()))
+                    rows = []
+                own = at
+                rows.append((bool(p), set(claims), int(trust), max(int(tokens), 1), i))
+            if done:
+                yield made(done)
+        if rows:
+            yield made([(own, ids())])
+
+    return evidence.select(*columns).repartition(block).sortWithinPartitions(block).mapInArrow(run, schema)
 
 
 def fit(rows: DataFrame, group: list[str], order: list, limits: dict[str, int]) -> DataFrame:
