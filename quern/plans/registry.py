@@ -454,8 +454,9 @@ def set_operations(spark, d):
 @query("""WITH b AS (SELECT l_orderkey, l_linenumber * 10 AS s, l_linenumber * 10 + CAST(l_quantity AS BIGINT) % 20 AS e FROM lineitem), o AS (SELECT *, max(e) OVER (PARTITION BY l_orderkey ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM b),
     g AS (SELECT *, sum(CASE WHEN m IS NULL OR s > m THEN 1 ELSE 0 END) OVER (PARTITION BY l_orderkey ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS k FROM o) SELECT l_orderkey, min(s) AS range_from, max(e) AS range_to FROM g GROUP BY l_orderkey, k""")
 def byte_range_union(spark, d):
-    b = table(spark, d, "lineitem").select("l_orderkey", (F.col("l_linenumber") * 10).alias("s"), (F.col("l_linenumber") * 10 + F.col("l_quantity").cast("long") % 20).alias("e"))
-    w = Window.partitionBy("l_orderkey").orderBy("s", "e")
+    # Nulls come last and fractions are rounded, halves to even, as in the SQL.
+    b = table(spark, d, "lineitem").select("l_orderkey", (F.col("l_linenumber") * 10).alias("s"), (F.col("l_linenumber") * 10 + F.rint("l_quantity").cast("long") % 20).alias("e"))
+    w = Window.partitionBy("l_orderkey").orderBy(F.asc_nulls_last("s"), F.asc_nulls_last("e"))
     o = b.withColumn("m", F.max("e").over(w.rowsBetween(Window.unboundedPreceding, -1)))
     g = o.withColumn("k", F.sum(F.when(F.col("m").isNull() | (F.col("s") > F.col("m")), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return g.groupBy("l_orderkey", "k").agg(F.min("s").alias("range_from"), F.max("e").alias("range_to")).drop("k")
