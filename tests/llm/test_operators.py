@@ -129,6 +129,29 @@ def test_all_similar_lines_are_found(spark):
     assert gone == {i for i, r in enumerate(root) if r != i} and len(gone) > 80
 
 
+def test_near_copies_cost_a_few_pairs_each(spark, monkeypatch):
+    """Copies with changes of their own, many of them too far from each other to link, and lines just too far from any: groups are whole, pairs few."""
+    rng = np.random.default_rng(3)
+    fresh = iter(f"w{i}" for i in range(100_000))
+    base, lines = [next(fresh) for _ in range(80)], []
+    for i in range(600):
+        line = list(base)
+        for at in rng.choice(range(5, 80), 9 if i < 400 else 14, replace=False):
+            line[at] = next(fresh)
+        lines.append(line)
+    codes = np.array([[hash(w) for w in line] for line in lines])
+    root = np.arange(len(lines))
+    for i in range(len(lines)):
+        for j in np.flatnonzero((codes[i] != codes[:i]).sum(axis=1) <= 16):
+            root[root == max(root[i], root[j])] = min(root[i], root[j])
+    compared, verified = [], line_dedup._verified
+    monkeypatch.setattr(line_dedup, "_verified", lambda pairs, *rest: compared.append(pairs.count()) or verified(pairs, *rest))
+    table = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(lines)], "doc_id long, text string")
+    gone = {r.doc_id for r in line_dedup.dedup_lines(table).where("n_removed = 1").collect()}
+    assert gone == {i for i, r in enumerate(root) if r != i} and len(gone) > 300
+    assert sum(compared) < 40 * len(lines)
+
+
 def test_packing(spark, docs):
     rows = nnls_packing.pack(docs, WORD).collect()
     for doc_id, n in Counter(r.doc_id for r in rows if r.doc_id not in (None, 7)).items():
