@@ -8,7 +8,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from quern.llm import cell_dedup, components, dart_minhash, graph_ann, language_id, line_dedup, nnls_packing, piece_roundtrip, queries, ring, token_count, warc
+from quern.llm import cell_dedup, components, dart_minhash, graph_ann, language_id, line_dedup, linking, nnls_packing, piece_roundtrip, queries, ring, token_count, warc
 
 WORD, PIECE = (public_tokenizers.path(n) for n in ("word_bpe_49k.json", "piece_bpe_32k.model"))
 DDL = "doc_id long, text string, lang string, score string, size string, n_removed string"
@@ -152,6 +152,19 @@ def test_near_copies_cost_a_few_pairs_each(spark, monkeypatch):
     assert sum(compared) < 40 * len(lines)
 
 
+def test_buckets_of_the_same_members_are_compared_once(spark, monkeypatch):
+    same = [(b, i) for b in range(40) for i in (1, 2, 3)] + [(100 + b, i) for b in range(40) for i in (4, 5)]
+    members = spark.createDataFrame([*same, *((200, i) for i in (3, 4, 6)), *((201, i) for i in (3, 5, 6))], "bucket long, id long")
+    facts = spark.createDataFrame([(i, 7) for i in range(1, 7)], "id long, n long")
+    wrote, tried, cut = [], [], linking.cut
+    monkeypatch.setattr(linking, "cut", lambda df, name="step": wrote.append((name, (out := cut(df, name)).count())) or out)
+    verify = lambda pairs: tried.extend(map(tuple, pairs.collect())) or pairs.where("a = 1 or a = 4 or (a = 5 and b = 6)")
+    out = {tuple(r) for r in linking.linked(members, facts, verify, lambda x, y: x("n") == y("n")).collect()}
+    assert out == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (6, 4)}
+    assert len(tried) == len(set(tried)) and {(1, 2), (1, 3), (4, 5), (3, 4), (3, 6), (3, 5)} <= set(tried)
+    assert max(n for name, n in wrote if name in ("members", "labels")) == 9
+
+
 def test_lines_of_few_words_again_and_again_are_told_apart_by_their_counts(spark, monkeypatch):
     """Each word an even number of times leaves no odd bit: such lines that share a phrase aren't compared, near copies of one are."""
     lines = []
