@@ -179,6 +179,55 @@ def test_lines_of_few_words_again_and_again_are_told_apart_by_their_counts(spark
     assert sum(compared) < 2 * len(lines)
 
 
+def test_lines_that_share_only_a_phrase_are_not_compared_with_all_others(spark, monkeypatch):
+    """A phrase of 300 lines, and 40 similar pairs among them that share nothing else in a row of four words: all are found, by a few comparisons each."""
+    rows = []
+    for i in range(150):
+        tail = [f"t{i}x{k}" for k in range(10)]
+        near = [f"u{i}x{k}" if k % 3 == 0 else w for k, w in enumerate(tail)] if i < 40 else [f"v{i}x{k}" for k in range(10)]
+        rows += [(2 * i + e, " ".join([*(f"h{k}" for k in range(10)), *end])) for e, end in enumerate((tail, near))]
+    looks, cut = [], linking.cut
+
+    def count(df, name="step"):
+        out = cut(df, name)
+        if name == "labels":
+            looks.append(sum(r["count"] ** 2 for r in out.groupBy("bucket").count().collect()))
+        return out
+
+    monkeypatch.setattr(linking, "cut", count)
+    gone = {r.doc_id for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).where("n_removed = 1").collect()}
+    assert gone == set(range(1, 80, 2))
+    assert looks[-1] < 10 * len(rows)
+
+
+def test_similar_lines_share_a_part(spark):
+    """Lines with as many edits as are allowed, of many and of few different words, have one of their rarest pairs of words in common."""
+    rng = np.random.default_rng(9)
+    texts, pairs = [], []
+    for n in [*range(5, 45), 99, 100, 104]:
+        for words in (3, 12, 20_000):
+            for _ in range(4):
+                a = [int(w) for w in rng.integers(words, size=n)]
+                b, grown = list(a), 0
+                for _ in range(int(rng.integers(n // 5 + 1)) if n % 5 < 4 else (n + 1) // 5):
+                    at, how = int(rng.integers(len(b))), rng.integers(3)
+                    if (how == 0 or (n % 5 == 4 and not grown)) and len(b) < (n + 1) // 5 * 5:
+                        b.insert(at, int(rng.integers(words)))
+                        grown += 1
+                    elif how == 1 and len(b) > n:
+                        del b[at]
+                    else:
+                        b[at] = int(rng.integers(words))
+                pairs.append((len(texts), len(texts) + 1))
+                texts += [(len(texts), len(a), a), (len(texts) + 1, len(b), b)]
+    table = spark.createDataFrame(texts, "key long, n int, words array<int>")
+    parts = {}
+    for r in line_dedup._parts(table, table.select(table.key.alias("id")), line_dedup.SIMILARITY).collect():
+        parts.setdefault(r.id, set()).add(r.bucket)
+    assert all(parts[a] & parts[b] for a, b in pairs)
+    assert all(len(parts[i]) <= 2 * ((n + 1) // 5) + 1 for i, n, _ in texts)
+
+
 def test_packing(spark, docs):
     rows = nnls_packing.pack(docs, WORD).collect()
     for doc_id, n in Counter(r.doc_id for r in rows if r.doc_id not in (None, 7)).items():
