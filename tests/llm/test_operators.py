@@ -228,6 +228,34 @@ def test_similar_lines_share_a_part(spark):
     assert all(len(parts[i]) <= 2 * ((n + 1) // 5) + 1 for i, n, _ in texts)
 
 
+def test_splitting_takes_only_the_runs_that_edits_can_break(spark, monkeypatch):
+    """Of 60 lines of 40 words, 17 runs each at most are dealt out, not all 39; a line alone has no part, even if its runs repeat."""
+    texts = [(i, 40, [*range(10), *range(100 + 30 * i, 130 + 30 * i)]) for i in range(60)] + [(60, 40, [*range(10), *range(100, 125), *range(9000, 9005)]), (61, 20, [19_001, 19_002] * 10)]
+    dealt, shared = [], line_dedup.shared_members
+    monkeypatch.setattr(line_dedup, "shared_members", lambda entries: dealt.append(entries.count()) or shared(entries))
+    table = spark.createDataFrame(texts, "key long, n int, words array<int>")
+    parts = line_dedup._parts(table, table.select(table.key.alias("id")), line_dedup.SIMILARITY).collect()
+    assert dealt and dealt[0] <= 61 * 17 + 2
+    assert {r.id for r in parts} == {0, 60}
+
+
+def test_words_are_coded_without_a_list_in_the_plan(spark):
+    table = spark.createDataFrame([([0, 1, 7, 19_999, 7],)], "words array<int>").select(line_dedup._codes(F.col("words")).alias("codes"))
+    assert [ord(c) - ord(table.first().codes[0]) for c in table.first().codes] == [0, 1, 7, 19_999, 7]
+    assert len(table._jdf.queryExecution().toString()) < 20_000
+
+
+def test_a_bucket_is_split_only_if_that_costs_less_than_its_pairs(spark):
+    members = spark.createDataFrame([(1, i) for i in range(130)], "bucket long, id long")
+    asked = []
+    for n in (5, 60):
+        facts = spark.createDataFrame([(i, n) for i in range(130)], "id long, n long")
+        split = lambda ids, n=n: asked.append(n) or ids.select((ids.id % 65).alias("bucket"), "id")
+        out = linking.linked(members, facts, lambda pairs: pairs.where("b - a = 65"), lambda x, y: x("n") == y("n"), split=(split, "n"))
+        assert {tuple(r) for r in out.collect()} == {(i, i % 65) for i in range(130)}
+    assert asked == [5]
+
+
 def test_packing(spark, docs):
     rows = nnls_packing.pack(docs, WORD).collect()
     for doc_id, n in Counter(r.doc_id for r in rows if r.doc_id not in (None, 7)).items():
