@@ -239,6 +239,42 @@ def test_splitting_takes_only_the_runs_that_edits_can_break(spark, monkeypatch):
     assert {r.id for r in parts} == {0, 60}
 
 
+def test_lines_that_meet_by_chance_go_before_their_texts_are_read(spark, monkeypatch):
+    """Of 200 lines that share a run of four words, and pairs of which 20 are similar, only those have their texts read; with a bucket too large for looks at each, all have."""
+    rows = []
+    for i in range(100):
+        own = [f"a{i}x{k}" for k in range(26)]
+        near = [f"b{i}x{k}" if k % 7 == 0 or i >= 20 else w for k, w in enumerate(own)]
+        rows += [(2 * i + e, " ".join(["one", "run", "of", "all", *line])) for e, line in enumerate((own, near))]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    read, cut = [], line_dedup.cut
+    monkeypatch.setattr(line_dedup, "cut", lambda df, name="step": ((out := cut(df, name)), read.append(out.count()) if name == "line-texts" else None)[0])
+    gone = lambda: {r.doc_id for r in line_dedup.dedup_lines(table).where("n_removed = 1").collect()}
+    assert gone() == set(range(1, 40, 2)) and read.pop() <= 50
+    monkeypatch.setattr(linking, "CROWD", 1)
+    assert gone() == set(range(1, 40, 2)) and read.pop() >= 150
+
+
+def test_no_pair_is_ruled_out_by_odd_words(spark):
+    """Lines with as many edits as are allowed, repeated words included, may link by their lengths and odd words."""
+    rng, pairs = np.random.default_rng(21), []
+    for n in [*range(5, 45), 60, 100, 200]:
+        for words in (3, 12, 20_000):
+            a = [f"w{w}" for w in rng.integers(words, size=n)]
+            b = list(a)
+            for _ in range(n // 5):
+                at, how = int(rng.integers(len(b))), rng.integers(3)
+                if how == 0 and len(b) > n:
+                    del b[at]
+                elif how == 1:
+                    b.insert(at, f"w{rng.integers(words)}")
+                else:
+                    b[at] = f"w{rng.integers(words)}"
+            pairs.append((a, b, len(a), len(b)))
+    table = spark.createDataFrame(pairs, "a array<string>, b array<string>, n_x int, n_y int").withColumns({"odd_x": line_dedup._odd(F.col("a")), "odd_y": line_dedup._odd(F.col("b"))})
+    assert table.where(line_dedup._might(line_dedup.SIMILARITY)(lambda c: F.col(f"{c}_x"), lambda c: F.col(f"{c}_y"))).count() == len(pairs)
+
+
 def test_words_are_coded_without_a_list_in_the_plan(spark):
     table = spark.createDataFrame([([0, 1, 7, 19_999, 7],)], "words array<int>").select(line_dedup._codes(F.col("words")).alias("codes"))
     assert [ord(c) - ord(table.first().codes[0]) for c in table.first().codes] == [0, 1, 7, 19_999, 7]
