@@ -292,6 +292,37 @@ def test_a_bucket_is_split_only_if_that_costs_less_than_its_pairs(spark):
     assert asked == [5]
 
 
+def test_a_word_is_hashed_once_for_all_its_runs(spark, monkeypatch):
+    """Only one expression reads the words of a line, one by one: longer runs are made up of shorter ones."""
+    plans, cut = [], line_dedup.cut
+    monkeypatch.setattr(line_dedup, "cut", lambda df, name="step": plans.append((name, df._jdf.queryExecution().optimizedPlan().toString())) or cut(df, name))
+    same = "one line of twenty words that is long enough for runs of four and no longer than it has to be here now"
+    rows = [(1, f"{same}\na short line of six words"), (2, f"{same.replace('twenty', 'some')}\na short line of seven words"), (3, f"{same.replace('now', '')}\nnothing that is like it")]
+    gone = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_removed").collect()
+    assert sorted(map(tuple, gone)) == [(1, 0), (2, 2), (3, 1)]
+    plan = dict(plans)["lines"]
+    assert plan.count("lambdafunction(hash(") == plan.count("transform(words") == 1
+
+
+def test_facts_and_components_are_joined_to_ids_not_to_each_of_their_buckets(spark, monkeypatch):
+    """140 ids in six buckets, split into parts of which each has five: no join on ids makes more rows than there are ids, on the way to the same components."""
+    members = spark.createDataFrame([(b, i) for b in range(6) for i in range(140) if b == 0 or i % 50 != b], "bucket long, id long")
+    facts = spark.createDataFrame([(i, 5) for i in range(140)], "id long, n long")
+    split = lambda ids: ids.select(F.explode(F.array(*((ids.id % 70) * 5 + F.lit(k) for k in range(5)))).alias("bucket"), "id")
+    made, join = [], type(members).join
+
+    def counted(self, other, on=None, how=None):
+        out = join(self, other, on, how)
+        if on == "id":
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(type(members), "join", counted)
+    out = linking.linked(members, facts, lambda pairs: pairs.where("b - a = 70"), lambda x, y: x("n") == y("n"), split=(split, "n"))
+    assert {tuple(r) for r in out.collect()} == {(i, i % 70) for i in range(140)}
+    assert len(made) >= 4 and max(made) <= 140
+
+
 def test_packing(spark, docs):
     rows = nnls_packing.pack(docs, WORD).collect()
     for doc_id, n in Counter(r.doc_id for r in rows if r.doc_id not in (None, 7)).items():
